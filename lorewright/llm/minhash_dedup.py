@@ -9,8 +9,9 @@ candidate when at least MATCHES of its coordinates collide; only such pairs are
 * Skip: coordinates left out are never merged. A pair met in the prefix has all its collisions counted by comparing the two
   signatures, which is a lookup and no list.
 * Groups: equal sets are one class from the start. The first merge links each list's members to the list's smallest one, so
-  a group of m near copies costs about m pairs; the second merge meets only members of different components, and counts
-  their collisions within the join, so that pairs below the threshold are never emitted.
+  a group of m near copies costs about m pairs; the second merge meets members of different components only, in
+  blocks, each pair once (in the most frequent coordinate of both prefixes), and emits the confirmed links that join two
+  components: at most a tree a block, however many pairs come close to the threshold.
 
 A pair of similarity 0.85 misses MATCHES = 38 of 64 collisions with a chance of about 5e-7, one of 0.9 with 1e-10; nothing
 else is approximate. Rows whose doc_id is null take no part and keep themselves.
@@ -34,6 +35,8 @@ WIDTH = 5
 PERCENT = 85
 COORDINATES = 64
 MATCHES = 38
+#: Members of a list that meet others at once.
+BLOCK = 512
 
 
 def _family(coordinates: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,6 +94,110 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common") >= percent * (F.size("p") + F.size("q") - F.col("common"))).select("a", "b")
 
 
+def _list_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    return column.values.to_numpy(), offsets
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches of a stream sorted by keys, regrouped so that no group spans two of them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        (whole,) = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()
+        key = np.stack([whole.column(k).to_numpy().astype(np.int64) for k in keys])
+        cut = int(np.argmax((key == key[:, -1:]).all(axis=0)))
+        if cut:
+            yield whole.slice(0, cut)
+        held = [whole.slice(cut)]
+    yield from held
+
+
+def _pairs_of(batch: pa.RecordBatch, a: int, b: int, sig: np.ndarray, ranks: tuple, component: np.ndarray, block: np.ndarray, matches: int) -> np.ndarray:
+    """Which pairs of the group's rows a to b have matches collisions, come from two components, and meet in no more
+    frequent prefix coordinate than this group's."""
+    part, c = sig[a:b], component[a:b]
+    hits = np.zeros((b - a, b - a), np.uint16)
+    for k in range(part.shape[1]):
+        hits += part[:, k, None] == part[None, :, k]
+    found = (hits >= matches) & (c[:, None] != c[None, :])
+    found &= np.triu(np.ones_like(found), 1)
+    if batch.column("i")[a].as_py() != batch.column("j")[a].as_py():
+        found &= block[a:b, None] != block[None, a:b]
+    if found.any():
+        values, offsets = ranks
+        token = batch.column("token")[a].as_py()
+        above = [values[offsets[r] : offsets[r + 1]] for r in range(a, b)]
+        above = [x[int(np.flatnonzero(x == token)[0]) + 1 :] for x in above]
+        names, at = np.unique(np.concatenate(above), return_inverse=True)
+        marks = np.zeros((b - a, len(names)), np.float32)
+        marks[np.repeat(np.arange(b - a), [len(x) for x in above]), at] = 1
+        found &= marks @ marks.T == 0
+    return found
+
+
+def _links_of(found: np.ndarray, ids: np.ndarray, component: np.ndarray, sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+    """Of the pairs, confirmed on full sets, those that join two components."""
+    names, local = np.unique(component, return_inverse=True)
+    above = list(range(len(names)))
+
+    def top(x: int) -> int:
+        while above[x] != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    for x in np.flatnonzero(found.any(axis=1)):
+        others = [y for y in np.flatnonzero(found[x]) if top(local[y]) != top(local[x])]
+        for y in others:
+            if top(local[y]) == top(local[x]):
+                continue
+            small, large = sorted((sets[x], sets[y]), key=len)
+            at = np.searchsorted(large, small)
+            common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+            if 100 * common >= percent * (len(small) + len(large) - common):
+                above[top(local[x])] = top(local[y])
+                yield ids[x], ids[y]
+
+
+def _met(matches: int, percent: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = ["token", "i", "j"]
+        for batch in _grouped(batches, keys):
+            ids, component, block = (batch.column(k).to_numpy() for k in ("id", "component", "block"))
+            key = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in keys])
+            edges = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1), batch.num_rows]
+            flat, at = _list_of(batch.column("sig"))
+            sig = flat[at[0] : at[-1]].reshape(batch.num_rows, -1)
+            ranks = _list_of(batch.column("prefix"))
+            if percent is not None:
+                shingles, ends = _list_of(batch.column("shingles"))
+            out: list[tuple[int, int]] = []
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if b - a > 1 and (component[a:b] != component[a]).any() and (found := _pairs_of(batch, a, b, sig, ranks, component, block, matches)).any():
+                    if percent is None:
+                        out += [(key[0, a], ids[a + r]) for r in np.flatnonzero(found.any(axis=0) | found.any(axis=1))]
+                    else:
+                        sets = [np.sort(shingles[ends[r] : ends[r + 1]].view(np.uint64)) for r in range(a, b)]
+                        out += _links_of(found, ids[a:b], component[a:b], sets, percent)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _meet(lists: DataFrame, matches: int, percent: int | None) -> DataFrame:
+    """Blocks of each list's members meet each other. lists: token, members (of the token), id, component, sig, prefix, and
+    shingles where percent is given. Gives (token, id) of the members of candidate pairs, or, where percent is given, the
+    confirmed links that join components. A list of any length is work in blocks of about BLOCK members; nothing is emitted
+    for a pair that fails."""
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK).cast("int"), F.lit(1))
+    lists = lists.withColumn("block", F.pmod(F.hash("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    lists = lists.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "members")
+    dealt = lists.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "id")
+    return dealt.mapInArrow(_met(matches, percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs (doc_id long, text string; other columns are left).
 
@@ -106,7 +213,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     shared = posted.groupBy("token").count().where("count > 1")
     kept = posted.join(shared, "token")
     own = Window.partitionBy("id")
-    kept = kept.withColumn("n", F.count("*").over(own)).where(F.col("n") >= matches).withColumn("rank", F.row_number().over(own.orderBy("count", "token"))).where(F.col("rank") <= F.col("n") - (matches - 1)).select("token", "id")
+    kept = kept.withColumn("n", F.count("*").over(own)).where(F.col("n") >= matches).withColumn("rank", F.row_number().over(own.orderBy("count", "token"))).where(F.col("rank") <= F.col("n") - (matches - 1)).select("token", "id", "count")
     prefix = written(kept, "prefix")
 
     signed = classes.select("id", "sig")
@@ -121,12 +228,12 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     groups = connected_components(links)
 
     labelled = prefix.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    open_ = written(labelled.join(mixed, "token").join(signed, "id").select("token", "id", "component", "sig"), "open")
-    l, r = open_.alias("l"), open_.alias("r")
-    met_again = l.join(r, (F.col("l.token") == F.col("r.token")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.component") != F.col("r.component")) & (_collisions("l.sig", "r.sig") >= matches))
-    second = met_again.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = written(_confirmed(second, sets, percent), "links")
+    mixed = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low < high").select("token", "members")
+    ranks = prefix.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("r")).select("id", F.col("r.token").alias("prefix"))
+    facts = written(signed.join(ranks, "id"), "facts")
+    near = written(_meet(labelled.select("token", "id", "component").join(mixed, "token").join(facts, "id"), matches, None), "near").select(F.col("a").alias("token"), F.col("b").alias("id")).distinct()
+    near = near.join(near.groupBy("token").agg(F.count("*").alias("members")), "token").join(labelled.select("token", "id", "component"), ["token", "id"])
+    more = written(_meet(near.join(facts, "id").join(sets, "id"), matches, percent), "links")
 
     same_id = named.join(classes.select("x", "y", "n_shingles", "id"), ["x", "y", "n_shingles"]).where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     found = connected_components(links.unionAll(more).unionAll(same_id))
