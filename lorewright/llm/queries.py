@@ -5,21 +5,82 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lorewright.llm.minhash_dedup import near_duplicates
+from lorewright.llm import exact_topk, minhash_dedup, mixing, packing, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of all documents that bring each source to its target."""
+    rows = mixing.copies(_read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest integer inner products of every vector whose id is divisible by 50."""
+    return exact_topk.top_k(_read(spark, sf_dir, "embeddings"))
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate documents at 0.85 on five-word shingles."""
-    return near_duplicates(_read(spark, sf_dir, "documents"))
+    return minhash_dedup.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on every page's URL."""
+    return url_filter.judged(_read(spark, sf_dir, "pages"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows of at most 1024 tokens."""
+    return packing.packed(_read(spark, sf_dir, "documents"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives, and the archives read back."""
+    return warc.round_trip(_read(spark, sf_dir, "pages"), spark).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mixing": op2_mixing,
+    "op4_exact_topk": op4_exact_topk,
     "op6_minhash_dedup": op6_minhash_dedup,
+    "op7_url_filter": op7_url_filter,
+    "op8_packing": op8_packing,
+    "op9_warc": op9_warc,
 }
 
-ORACLES: dict[str, str] = {}
+_TOPK_SQL = """
+WITH usable AS (
+  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id AS vec_id,
+         CAST(list_sum([q.v[i] * d.v[i] FOR i IN range(1, 1 + least(len(q.v), len(d.v)))]) AS BIGINT) AS score
+  FROM usable q JOIN usable d ON q.vec_id <> d.vec_id
+  WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+_WARC_SQL = """
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), tops AS (
+  SELECT html, max(page_id) AS top FROM payloads WHERE payload_bytes >= 1000 GROUP BY html
+)
+SELECT p.page_id, p.payload_bytes, p.payload_digest,
+       CASE WHEN t.top IS NOT NULL AND p.page_id IS DISTINCT FROM t.top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN t.top IS NOT NULL AND p.page_id IS DISTINCT FROM t.top THEN t.top END AS refers_to
+FROM payloads p LEFT JOIN tops t ON p.html = t.html AND p.payload_bytes >= 1000
+"""
+
+ORACLES: dict[str, str] = {"op4_exact_topk": _TOPK_SQL, "op9_warc": _WARC_SQL}
