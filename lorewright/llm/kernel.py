@@ -20,6 +20,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: True for every ASCII byte that is no letter or digit.
 NON_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+#: 0 between words, 1 for letters, digits and every byte of other characters, 2 for ASCII symbols.
+RUNS = np.where(SPACE, 0, np.where(NON_ALNUM, 2, 1)).astype(np.uint8)
 #: A-Z to a-z.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -68,28 +70,37 @@ def _cuts(raw: np.ndarray, space: np.ndarray) -> list[int]:
     return cuts
 
 
-def words(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each word in order, words before each row (one more than rows), and the words' lengths in bytes."""
+def words(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE, lower: bool = True, prefix: int = 0, runs: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each word in order, words before each row (one more than rows), and the words' lengths in bytes.
+
+    prefix: hash so many first bytes of a word only. runs: space is a table of classes like RUNS; a word also ends where
+    the class changes.
+    """
+    classes = space if runs else (~space).astype(np.uint8)
     hashes, starts, lengths, at = [], [], [], 0
     edges = offsets[(offsets > 0) & (offsets < len(raw))]
-    for end in _cuts(raw, space):
+    for end in _cuts(raw, classes == 0):
         part = raw[at:end]
-        inside = ~space[part]
+        kind = classes[part]
+        inside = kind > 0
         first, last = inside.copy(), inside.copy()
-        first[1:] &= ~inside[:-1]
-        last[:-1] &= ~inside[1:]
+        changed = kind[1:] != kind[:-1]
+        first[1:] &= changed
+        last[:-1] &= changed
         own = edges[(edges >= at) & (edges < end)] - at
         first[own] |= inside[own]
         own = own[own > 0] - 1
         last[own] |= inside[own]
         s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
+        lengths.append(e - s)
+        if prefix:
+            e = np.minimum(e, s + prefix)
         size = max(SEGMENT, 1 << int(len(part)).bit_length())
         m, v = _powers(size)
         sums = np.zeros(len(part) + 1, np.uint64)
         np.cumsum((LOWER[part] if lower else part).astype(np.uint64) * v[: len(part)] + v[: len(part)], out=sums[1:])
         hashes.append(mix((sums[e] - sums[s]) * m[s] + (e - s).astype(np.uint64)))
         starts.append(s + at)
-        lengths.append(e - s)
         at = end
     if not hashes:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), np.zeros(0, np.int64)

@@ -7,24 +7,39 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewright.llm import exact_topk, minhash_dedup, mixing, packing, url_filter, warc
+from lorewright.llm import embedding_dedup, exact_topk, lang_id, minhash_dedup, mixing, packing, quality, toxicity, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    return lang_id.identified(_read(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of all documents that bring each source to its target."""
     rows = mixing.copies(_read(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors at cosine 0.95."""
+    return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five highest integer inner products of every vector whose id is divisible by 50."""
     return exact_topk.top_k(_read(spark, sf_dir, "embeddings"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every document."""
+    return toxicity.judged(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate documents at 0.85 on five-word shingles."""
     return minhash_dedup.near_duplicates(_read(spark, sf_dir, "documents"))
@@ -45,13 +60,22 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_read(spark, sf_dir, "pages"), spark).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every document."""
+    return quality.judged(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lang_id": op1_lang_id,
     "op2_mixing": op2_mixing,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_exact_topk": op4_exact_topk,
+    "op5_toxicity": op5_toxicity,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_url_filter": op7_url_filter,
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
+    "op10_quality": op10_quality,
 }
 
 _TOPK_SQL = """
