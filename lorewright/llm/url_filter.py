@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorewright.llm.shared import written
@@ -59,7 +59,7 @@ def labelled_urls(spark: SparkSession) -> DataFrame:
             for j, step in enumerate(steps):
                 host = f"{name}-{names[(i + step) % len(names)]}" if step else name
                 rows.append((f"https://{_FRONTS[(i + j) % 4]}{host}.{_ENDS[(i + 2 * j) % 6]}{_PATHS[(3 * i + j) % 6]}", blocked))
-    return spark.createDataFrame(rows, "url string, blocked int")
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{url}', {blocked})" for url, blocked in rows) + " AS labelled(url, blocked)")  # no Python workers
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -91,14 +91,15 @@ def _sigmoid(x: Column) -> Column:
 def train(labelled: DataFrame, most: int = MOST_LABELLED) -> list[float]:
     """Weights by bucket, then the bias. Rows with a null label are left out; an empty table gives zeros, so that every
     score is 0.5. Rows are taken in the order of their URLs' hashes, so reruns agree."""
-    rows = labelled.where("blocked is not null").select("url", F.col("blocked").cast("double").alias("y")).orderBy(F.xxhash64("url"), "url", "y").limit(most)
-    rows = rows.select(F.struct("url", "y", features(*parts(F.col("url"))).alias("f")).alias("r")).agg(F.sort_array(F.collect_list("r")).alias("rows"))
-    lists = F.transform("rows", lambda r: r["f"])
-    pairs = F.flatten(F.transform(lists, lambda f, k: F.transform(f, lambda i: F.struct(i.alias("i"), k.alias("k")))))
-    one = rows.select("rows", F.explode_outer(pairs).alias("p")).groupBy("rows", "p.i").agg(F.sort_array(F.collect_list("p.k")).alias("ks")).groupBy("rows").agg(F.map_from_entries(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "ks")))).alias("by"))
+    picked = labelled.where("blocked is not null").select("url", F.col("blocked").cast("double").alias("y")).orderBy(F.xxhash64("url"), "url", "y").limit(most)
+    numbered = picked.withColumn("k", F.row_number().over(Window.orderBy(F.xxhash64("url"), "url", "y")) - 1)  # `most` rows at most
+    numbered = written(numbered.select("k", "y", features(*parts(F.col("url"))).alias("f")), "labelled")
+    rows = numbered.agg(F.sort_array(F.collect_list(F.struct("k", "y", "f"))).alias("rows"))
+    lists = numbered.select("k", F.explode("f").alias("i")).groupBy("i").agg(F.sort_array(F.collect_list("k")).alias("ks")).agg(F.map_from_entries(F.collect_list(F.struct("i", "ks"))).alias("by"))
+    one = rows.withColumn("by", F.lit(None).cast("map<int,array<int>>")).unionByName(lists.select(F.lit(None).cast("array<struct<k:int,y:double,f:array<int>>>").alias("rows"), "by"))
+    one = one.agg(F.first("rows", True).alias("rows"), F.first("by", True).alias("by"))
     empty = F.array().cast("array<int>")
     one = one.select("rows", F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda j: F.coalesce(F.try_element_at("by", j), empty)).alias("lists"), F.transform("rows", lambda r: 1 / F.sqrt(F.size(r["f"]))).alias("scale"))
-
     n = F.greatest(F.size("rows"), F.lit(1))
     curve = F.transform("lists", lambda ks: F.aggregate(ks, F.lit(0.0), lambda a, k: a + F.get("scale", k) * F.get("scale", k)) * 0.25 / n + 1e-4)
     one = written(written(one, "labelled").withColumn("curve", curve), "labelled")  # else each lambda works these out again
