@@ -146,19 +146,19 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, per_class: int = PER
         for whole in batches:
             for batch in slices(whole, "text"):
                 ids, label = batch.column("doc_id").to_pylist(), batch.column("label").to_pylist()
-                rows = [(i, y, f.tolist(), None) for i, y, f in zip(ids, label, features(batch.column("text")), strict=True)]
+                rows = [(i, y, f.tobytes(), None) for i, y, f in zip(ids, label, features(batch.column("text")), strict=True)]
                 for i, y, text in zip(ids, label, batch.column("text").to_pylist(), strict=True):
                     swapped = counterfactuals(text, groups)
                     if swapped:
                         both = features(pa.array([x for pair in swapped for x in pair]))
-                        rows += [(i, y, both[2 * k].tolist(), both[2 * k + 1].tolist()) for k in range(len(swapped))]
+                        rows += [(i, y, both[2 * k].tobytes(), both[2 * k + 1].tobytes()) for k in range(len(swapped))]
                 columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.list_(pa.int32())), pa.array(columns[3], pa.list_(pa.int32()))], ["doc_id", "label", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())], ["doc_id", "label", "a", "b"])
 
-    found = sorted(sample.mapInArrow(featured, "doc_id long, label int, a array<int>, b array<int>").collect(), key=lambda r: (r.doc_id, r.b is not None, r.a))
-    texts = [r for r in found if r.b is None]
-    rows, y = [np.array(r.a, np.int64) for r in texts], np.array([r.label for r in texts])
-    return fit(rows, y, [(np.array(r.a, np.int64), np.array(r.b, np.int64)) for r in found if r.b is not None], strength)
+    found = sorted(((r.doc_id, r.label, bytes(r.a), r.b and bytes(r.b)) for r in sample.mapInArrow(featured, "doc_id long, label int, a binary, b binary").collect()), key=lambda r: (r[0], r[3] is not None, r[2], r[3] or b""))
+    numbers = lambda data: np.frombuffer(data, np.int32)
+    texts = [r for r in found if r[3] is None]
+    return fit([numbers(r[2]) for r in texts], np.array([r[1] for r in texts]), [(numbers(r[2]), numbers(r[3])) for r in found if r[3] is not None], strength)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
