@@ -59,7 +59,9 @@ class Packer:
     """Takes documents, gives full windows as lists of pieces (doc, start, ids, doc_tokens)."""
 
     def __init__(self, tiers: tuple[int, ...] = TIERS, pool: int = POOL, keep: int = KEEP):
-        self.tiers, self.window, self.pool, self.keep = sorted(tiers), max(tiers), pool, keep
+        self.tiers, self.window = sorted(tiers), max(tiers)
+        self.keep = max(keep, self.window // 2)  # a window's gap is shorter than half of it, so these always fill it
+        self.pool = max(pool, self.keep + 1)
         self.rests: list[tuple[int, int]] = []  # (length, number), ascending
         self.pieces: dict[int, tuple] = {}
         self.count = 0
