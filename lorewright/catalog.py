@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorewright.functions import text
+from lorewright.model import CHAIN
 from lorewright.operators import analytics, filters, graph, metrics, rules, search
 from lorewright.sources import views
 from lorewright.sources.views import AS_OF
@@ -272,6 +273,16 @@ _add(
 )
 _add("derive_counts", lambda t: t.edges.where("type = 'derived_from'").select(F.explode(F.array(F.struct(F.col("source_id").alias("id"), F.lit("source").alias("side")), F.struct(F.col("target_id").alias("id"), F.lit("target").alias("side")))).alias("x")).groupBy("x.id", "x.side").agg(F.count("*").alias("n")), "edges", "SELECT id, side, count(*) AS n FROM (SELECT source_id AS id, 'source' AS side FROM edges WHERE type = 'derived_from' UNION ALL SELECT target_id, 'target' FROM edges WHERE type = 'derived_from') GROUP BY 1, 2")
 
+_add("confidence_values", lambda t: t.entries.select("id", analytics.confidence_value(F.col("confidence")).alias("value")), "entries", "SELECT id, CASE confidence WHEN 'high' THEN 0.85 WHEN 'medium' THEN 0.5 WHEN 'low' THEN 0.25 ELSE 0.15 END AS value FROM entries")
+_add("authority_scales", lambda t: _round(t.authority.select("id", *analytics.authority_scales(F.col("authority"))), "size", "percent", "norm"), "entries", f", {_AUTHORITY} SELECT id, round(8 + 10 * sqrt(authority), 6) AS size, greatest(round(authority * 100), 3) AS percent, round(authority, 6) AS norm FROM authority")
+_add("dashboard_verdicts", lambda t: analytics.verdicts(t.entries), "entries", ", f AS (SELECT avg(CASE WHEN status IN ('active', 'authoritative') THEN 1.0 ELSE 0 END) AS m, avg(CASE WHEN freshness = 'volatile' THEN 1.0 ELSE 0 END) AS v, count(*) AS total FROM entries), top AS (SELECT kind, count(*) AS n FROM entries GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1) SELECT CASE WHEN n >= 0.5 * total THEN kind END AS dominant, CASE WHEN m >= 0.7 THEN 'mature' WHEN m >= 0.4 THEN 'growing' ELSE 'young' END AS maturity, CASE WHEN v <= 0.2 THEN 'calm' WHEN v <= 0.6 THEN 'mixed' ELSE 'restless' END AS freshness FROM f, top")
+_add("orphan_domains", lambda t: analytics.orphan_domains(t.entries, t.edges.where("type = 'supersedes'")), "entries edges", ", x AS (SELECT a.domain AS p, b.domain AS q FROM edges JOIN entries a ON a.id = source_id JOIN entries b ON b.id = target_id WHERE type = 'supersedes' AND a.domain <> '' AND b.domain <> '' AND a.domain <> b.domain) SELECT DISTINCT domain FROM entries WHERE domain <> '' AND domain NOT IN (SELECT p FROM x UNION SELECT q FROM x)")
+_add("backlinks", lambda t: analytics.backlinks(t.edges), "edges", "SELECT target_id AS id, type, count(*) AS n FROM edges GROUP BY 1, 2")
+_add("promotion_chain_links", lambda t: analytics.chain_links(t.entries, t.edges, CHAIN), "entries edges", ", p AS (SELECT id, CASE kind WHEN 'note' THEN 1 WHEN 'concept' THEN 2 WHEN 'decision' THEN 3 WHEN 'dossier' THEN 4 END AS p FROM entries) SELECT source_id, target_id, a.p AS from_place, b.p AS to_place FROM edges JOIN p a ON a.id = source_id JOIN p b ON b.id = target_id WHERE type = 'derived_from' AND a.p IS NOT NULL AND b.p IS NOT NULL")
+_add("alias_overlap", lambda t: rules.alias_overlap(t.entries), "entries", ", h AS (SELECT id, unnest(aliases) AS alias FROM entries WHERE status <> 'archived'), f AS (SELECT alias, min(id) AS left_id FROM h GROUP BY 1) SELECT left_id, id AS right_id, count(*) AS shared FROM h JOIN f USING (alias) WHERE left_id < id GROUP BY 1, 2")
+_add("semantic_candidates", lambda t: _round(rules.semantic_candidates(t.read("embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("kind"), "embedding"), t.read("embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("id")), 0.1), "similarity"), "", f"WITH {_VECTORS} SELECT id, candidate, round(s, 6) AS similarity FROM (SELECT a.vec_id AS id, b.vec_id AS candidate, list_cosine_similarity(a.e, b.e) AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.e, b.e) DESC, b.vec_id) AS place FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.vec_id % 20 = 0 WHERE list_cosine_similarity(a.e, b.e) >= 0.1) WHERE place <= 10")
+_rule("missing_relation_hint", "medium", lambda t: rules.missing_relation_hint(t.entries, t.edges), _EV, "own AS (SELECT id, unnest(search_terms) AS term, tags FROM entries WHERE kind <> 'source' AND status <> 'archived'), c AS (SELECT term FROM own GROUP BY 1 HAVING count(*) BETWEEN 2 AND 50), pairs AS (SELECT DISTINCT a.id, b.id AS other FROM own a JOIN c USING (term) JOIN own b USING (term) WHERE a.id <> b.id AND list_has_any(a.tags, b.tags))", "SELECT id, count(*) AS n FROM pairs WHERE (id, other) NOT IN (SELECT source_id, target_id FROM edges UNION SELECT target_id, source_id FROM edges) GROUP BY 1 HAVING count(*) >= 2", "CAST(x.n AS VARCHAR)")
+
 # --- retrieval quality
 _RESULTS = "results AS (SELECT label AS query, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) AS INTEGER) AS place, vec_id AS id FROM embeddings), grades AS (SELECT label AS query, vec_id AS id, CAST(vec_id % 4 AS INTEGER) AS grade FROM embeddings WHERE vec_id % 3 = 0)"
 

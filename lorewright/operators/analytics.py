@@ -105,3 +105,40 @@ def ndcg(results: DataFrame, grades: DataFrame, k: int = 10) -> DataFrame:
     got = results.where(F.col("place") <= k).join(grades, ["query", "id"]).groupBy("query").agg(F.sum(gain).alias("dcg"))
     best = placed(grades, "query", F.desc("grade"), F.col("id")).where(F.col("place") <= k).groupBy("query").agg(F.sum(gain).alias("ideal"))
     return best.join(got, "query", "left").select("query", F.when(F.col("ideal") > 0, F.coalesce("dcg", F.lit(0.0)) / F.col("ideal")).otherwise(0.0).alias("ndcg"))
+
+
+def confidence_value(confidence: Column) -> Column:
+    """What a confidence word counts: high 0.85, medium 0.5, low 0.25, none 0.15, any other 0.5."""
+    return F.when(confidence.isNull() | (confidence == ""), 0.15).when(confidence == "high", 0.85).when(confidence == "medium", 0.5).when(confidence == "low", 0.25).otherwise(0.5)
+
+
+def authority_scales(authority: Column) -> list[Column]:
+    """size, percent and norm of an authority for display."""
+    unit = F.greatest(F.least(authority, F.lit(1.0)), F.lit(0.0))
+    return [(8 + 10 * F.sqrt(unit)).alias("size"), F.greatest(F.least(F.round(authority * 100), F.lit(100.0)), F.lit(3.0)).alias("percent"), unit.alias("norm")]
+
+
+def verdicts(entries: DataFrame) -> DataFrame:
+    """One row: the dominant kind where it holds half, and words for maturity and freshness shares."""
+    total = entries.agg(F.count("*").alias("total"), F.avg(F.when(F.col("status").isin("active", "authoritative"), 1.0).otherwise(0.0)).alias("mature"), F.avg(F.when(F.col("freshness") == "volatile", 1.0).otherwise(0.0)).alias("volatile"))
+    top = entries.groupBy("kind").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kind").limit(1)
+    row = total.join(top, F.lit(True), "left")
+    return row.select(F.when(F.col("n") >= 0.5 * F.col("total"), F.col("kind")).alias("dominant"), F.when(F.col("mature") >= 0.7, "mature").when(F.col("mature") >= 0.4, "growing").otherwise("young").alias("maturity"), F.when(F.col("volatile") <= 0.2, "calm").when(F.col("volatile") <= 0.6, "mixed").otherwise("restless").alias("freshness"))
+
+
+def orphan_domains(entries: DataFrame, edges: DataFrame) -> DataFrame:
+    """(domain) of domains without an edge to another one."""
+    linked = cross_domain(entries, edges).select(F.explode(F.array("left_domain", "right_domain")).alias("domain"))
+    return entries.where("domain <> ''").select("domain").distinct().join(linked, "domain", "left_anti")
+
+
+def backlinks(edges: DataFrame) -> DataFrame:
+    """(id, type, n): incoming relations by type."""
+    return edges.groupBy(F.col("target_id").alias("id"), "type").agg(F.count("*").alias("n"))
+
+
+def chain_links(entries: DataFrame, edges: DataFrame, chain: tuple[str, ...]) -> DataFrame:
+    """(source_id, target_id, from_place, to_place): derived_from edges with both ends in the promotion chain."""
+    place = entries.select("id", F.array_position(F.array(*[F.lit(k) for k in chain]), F.col("kind")).cast("int").alias("p")).where("p > 0")
+    own = edges.where("type = 'derived_from'").join(place.select(F.col("id").alias("source_id"), F.col("p").alias("from_place")), "source_id").join(place.select(F.col("id").alias("target_id"), F.col("p").alias("to_place")), "target_id")
+    return own.select("source_id", "target_id", "from_place", "to_place")

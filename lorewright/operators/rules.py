@@ -159,3 +159,34 @@ def term_near_duplicates(entries: DataFrame, most: int = 500, distance: int = 2,
     banded = terms.withColumn("band", F.explode(F.sequence(F.col("size") - distance, F.col("size") + distance)))
     met = banded.select(F.col("term").alias("left_term"), F.col("band").alias("size")).join(terms.select(F.col("term").alias("right_term"), "size"), "size").where("left_term < right_term")
     return met.withColumn("distance", F.levenshtein("left_term", "right_term", distance)).where("distance >= 0").select("left_term", "right_term", "distance")
+
+
+def alias_overlap(entries: DataFrame) -> DataFrame:
+    """(left_id, right_id, shared) of entries that hold one alias in common; an alias of very many holders links each of them
+    to its first holder, which is as telling and not quadratic."""
+    held = entries.where("status <> 'archived'").select("id", F.explode(F.array_distinct("aliases")).alias("alias"))
+    first = held.groupBy("alias").agg(F.min("id").alias("left_id"), F.count("*").alias("n")).where("n > 1")
+    met = held.join(first, "alias").where("left_id < id")
+    return met.groupBy("left_id", F.col("id").alias("right_id")).agg(F.count("*").alias("shared"))
+
+
+def semantic_candidates(vectors: DataFrame, asked: DataFrame, threshold: float = 0.92, most: int = 10) -> DataFrame:
+    """(id, candidate, similarity) of vectors (id, kind, embedding): for each asked one (id) those of its kind at the
+    threshold, the best `most` by similarity and id."""
+    from lorewright.functions.text import cosine
+
+    queries = vectors.join(asked.select("id"), "id", "left_semi").select("id", "kind", F.col("embedding").alias("q"))
+    met = queries.join(vectors.select(F.col("id").alias("candidate"), "kind", "embedding"), "kind").where("id <> candidate").withColumn("similarity", cosine(F.col("q"), F.col("embedding"))).where(F.col("similarity") >= threshold)
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "candidate"))
+    return met.withColumn("place", place).where(F.col("place") <= most).select("id", "candidate", "similarity")
+
+
+def missing_relation_hint(entries: DataFrame, edges: DataFrame, least: int = 2) -> DataFrame:
+    """Entries of which at least `least` others share a tag and a search term without a relation; the message counts them."""
+    own = entries.where("kind <> 'source' and status <> 'archived'").select("id", F.explode("search_terms").alias("term"), "tags")
+    counts = own.groupBy("term").agg(F.count("*").alias("n")).where("n between 2 and 50")  # a term of more holders hints at nothing
+    posted = own.join(counts.select("term"), "term")
+    pairs = posted.join(posted.select(F.col("id").alias("other"), "term", F.col("tags").alias("others")), "term").where(F.arrays_overlap("tags", "others") & (F.col("id") != F.col("other"))).select("id", "other").distinct()
+    linked = graph.neighbors(edges).select("id", F.col("neighbor").alias("other"))
+    hints = pairs.join(linked, ["id", "other"], "left_anti").groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return _findings(hints, "missing_relation_hint", "medium", F.col("n").cast("string"))
