@@ -71,8 +71,8 @@ def parts(url: Column) -> tuple[Column, Column]:
 
 def _grams(text: Column, tag: str) -> Column:
     chars = F.filter(F.split(F.concat(F.lit("^"), text, F.lit("$")), ""), lambda c: c != "")
-    gram = lambda c, i: F.pmod(F.hash(F.lit(tag), c, *[F.get(chars, i + k) for k in range(1, GRAM)]), F.lit(BUCKETS))
-    return F.transform(chars, gram)
+    gram = lambda all_: lambda c, i: F.pmod(F.hash(F.lit(tag), c, *[F.get(all_, i + k) for k in range(1, GRAM)]), F.lit(BUCKETS))
+    return F.get(F.transform(F.array(chars), lambda all_: F.transform(all_, gram(all_))), F.lit(0))  # the URL is split once, not at each character
 
 
 def features(host: Column, path: Column) -> Column:
