@@ -14,6 +14,7 @@ from lorewright.errors import ConflictError, NotFoundError, ValidationError
 from lorewright.functions import text
 from lorewright.model import ENTRY_SCHEMA, FINDING_SCHEMA, FRESHNESS, KINDS, LEAST_BODY, MOST_BODY, ORIGINS, QUEUE_SCHEMA, RELATION_SCHEMA, RELATION_TYPES, REVIEW_DAYS, STATUSES
 from lorewright.operators import analytics, filters, graph, metrics, rules, search
+from lorewright.plans.shipping import ship
 from lorewright.sources import markdown
 from lorewright.sources.snapshots import Snapshots
 
@@ -40,6 +41,7 @@ class KnowledgeBase:
     def __init__(self, spark: SparkSession, root: str, today: date | None = None):
         self.spark, self.root, self.tables = spark, root, Snapshots(spark, f"{root}/.tables")
         self._today = today
+        ship(spark)
 
     # --- tables
     @property
