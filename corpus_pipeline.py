@@ -13,22 +13,26 @@ from pyspark.sql import functions as F
 
 from lorewright.llm import lang_id, minhash_dedup, mixing, packing, toxicity
 from lorewright.llm.shared import crc_of_id, written
+from lorewright.plans.shipping import ship
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, trained on the labelled rows that op5 doesn't hold out, scores below 0.5."""
+    ship(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.coalesce(crc_of_id() % 5 != 0, F.lit(False)))
     return toxicity.scored(docs, model).where("predicted = 0").select(*docs.columns)
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is one of the learned; those without a letter go."""
+    ship(spark)
     model = lang_id.train(docs, F.coalesce(crc_of_id() % 4 != 2, F.lit(False)))
     return lang_id.predicted(docs, model).where(F.col("lang_pred") != lang_id.UNDEFINED).select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group of near-duplicates; rows of null doc_id stay."""
+    ship(spark)
     kept = minhash_dedup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
     return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(*docs.columns).unionAll(docs.where("doc_id is null"))
 
@@ -40,6 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed windows."""
+    ship(spark)
     return packing.packed(docs)
 
 
