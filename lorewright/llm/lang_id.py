@@ -14,12 +14,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorewright.llm.kernel import buffers, slices
-from lorewright.llm.shared import crc_of_id
+from lorewright.llm.shared import crc_of_id, smallest_hashes
 
 DIM = 4096
 #: The bound of the labelled sample: rows of each language, and rows in all.
@@ -139,9 +139,8 @@ def fit(x: np.ndarray, langs: np.ndarray) -> Model:
 def train(docs: DataFrame, keep: Column, per_language: int = PER_LANGUAGE, most: int = MOST_ROWS) -> Model | None:
     """A model of docs (doc_id, text, lang) where keep holds and neither text nor lang is null; None if there is no row."""
     rows = docs.where(keep & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
-    taken = ids.orderBy("n", "lang").limit(most).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
+    ids = smallest_hashes(rows.select("doc_id", "lang").distinct(), "lang", per_language)
+    taken = ids.orderBy("_n", "lang").limit(most).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
     sample = rows.join(F.broadcast(taken), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))  # at most `most` rows
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

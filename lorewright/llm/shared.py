@@ -43,9 +43,18 @@ def crc_of_id(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary"))
 
 
+def smallest_hashes(rows: DataFrame, group: str, most: int) -> DataFrame:
+    """At most `most` rows (doc_id, group) of each group: those of smallest id hash. Rows beyond a hash that leaves out what
+    can't be among them (but for a chance below 1e-12) go before the shuffle, so no group meets in one task."""
+    hashed = rows.withColumn("_u", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
+    reach = F.least(F.lit(1.0), (most + 8 * most**0.5) / F.count("*")) * (1 << 40)
+    hashed = hashed.join(rows.groupBy(group).agg(reach.alias("_reach")), group).where(F.col("_u") <= F.col("_reach"))
+    order = Window.partitionBy(group).orderBy("_u", "doc_id")
+    return hashed.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_u", "_reach")
+
+
 def labelled_sample(labels: DataFrame, label: str, keep: Column, per_class: int) -> DataFrame:
-    """(doc_id, label) of at most per_class ids of each value of label: those of smallest hash. A doc_id that occurs
-    with several values counts with the largest. Rows with a null id or label take no part."""
+    """(doc_id, label) of at most per_class ids of each value of label. A doc_id that occurs with several values counts with
+    the largest. Rows with a null id or label take no part."""
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & keep).groupBy("doc_id").agg(F.max(label).alias("label"))
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_class).drop("_n")
+    return smallest_hashes(rows, "label", per_class).select("doc_id", "label")
