@@ -126,8 +126,9 @@ def _renamed(folder: str):
     return run
 
 
-def _shards(thin: DataFrame, shard_bytes: int) -> Column:
-    """The shard of a row by page_id and, where one bin holds more than a shard, by digest. A null page_id sorts first."""
+def _shards(thin: DataFrame, shard_bytes: int) -> tuple[Column, int]:
+    """The shard of a row by page_id and, where one bin holds more than a shard, by digest; and how many there are. A null
+    page_id sorts first."""
     low, high = thin.agg(F.min("page_id"), F.max("page_id")).first()
     low, high = low or 0, high or 0
     width = max(1.0, (float(high) - float(low) + 1) / (HISTOGRAM - 1))
@@ -145,7 +146,7 @@ def _shards(thin: DataFrame, shard_bytes: int) -> Column:
         else:
             held += own
     spelled = lambda xs: F.expr(f"array({','.join(map(str, xs))})")
-    return F.get(spelled(first), at) + F.pmod(F.hash("digest"), F.get(spelled(parts), at))
+    return F.get(spelled(first), at) + F.pmod(F.hash("digest"), F.get(spelled(parts), at)), shard + 1
 
 
 def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
@@ -162,11 +163,11 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, roll_by
     thin = written(facts.drop("url", "html"), "payloads")
     top = thin.where(F.col("payload_bytes") >= LEAST_REVISITED).groupBy("digest", "payload_bytes").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
     again = thin.join(top, ["digest", "payload_bytes"]).where("page_id is null or page_id < refers_to").select("page_id", "digest", F.lit(0).alias("tag"), "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html")).distinct()
-    shard = _shards(thin, shard_bytes)
+    shard, count = _shards(thin, shard_bytes)
     rows = facts.select("page_id", "digest", F.lit(1).alias("tag"), F.lit(None).cast("long").alias("refers_to"), "url", "html").unionAll(again).withColumn("shard", shard)
     files, root = pfs.FileSystem.from_uri(folder)
     files.create_dir(root, recursive=True)
-    dealt = rows.repartition("shard").sortWithinPartitions("shard", "page_id", "digest", "tag")
+    dealt = rows.repartitionById(count, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", "tag")
     staged = written(dealt.mapInArrow(_written(folder, roll_bytes), MANIFEST), "manifest")
     manifest = staged.mapInArrow(_renamed(folder), MANIFEST)
     manifest.write.parquet(f"{folder.rstrip('/')}/_manifest")
