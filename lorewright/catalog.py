@@ -218,7 +218,7 @@ _POSTINGS = f"{_FIELDS}, postings AS (SELECT id, field, term, count(*) AS tf FRO
 
 
 def _bm25(t: Tables, terms: list[str]) -> DataFrame:
-    index = search.postings(t.entries)
+    index = graph.cut(search.postings(t.entries))
     sizes = search.lengths(index)
     return search.bm25(index, sizes, t.entries.count(), sizes.agg(F.avg("length")).first()[0] or 1.0, terms)
 

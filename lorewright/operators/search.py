@@ -30,13 +30,13 @@ def fields(entries: DataFrame) -> DataFrame:
 
 
 def ascii_terms(text: Column) -> Column:
-    """Lower-cased runs of ASCII letters, digits and the characters that stay within tokens."""
-    return F.filter(F.split(F.lower(F.regexp_replace(text, r"[^0-9A-Za-z_.+#-]", " ")), " +"), lambda t: t != "")
+    """Runs of ASCII letters, digits and the characters that stay within tokens."""
+    return F.regexp_extract_all(text, F.lit("[0-9A-Za-z_.+#-]+"), F.lit(0))
 
 
 def postings(entries: DataFrame) -> DataFrame:
     """(id, field, term, tf) of the ASCII index."""
-    return fields(entries).select("id", "field", F.explode(ascii_terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("id", "field", "term").agg(F.count("*").alias("tf"))
+    return fields(entries).select("id", "field", F.explode(ascii_terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("id", "field", F.lower("term").alias("term")).agg(F.count("*").alias("tf"))
 
 
 def lengths(index: DataFrame) -> DataFrame:
