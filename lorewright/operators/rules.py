@@ -181,12 +181,43 @@ def semantic_candidates(vectors: DataFrame, asked: DataFrame, threshold: float =
     return met.withColumn("place", place).where(F.col("place") <= most).select("id", "candidate", "similarity")
 
 
-def missing_relation_hint(entries: DataFrame, edges: DataFrame, least: int = 2) -> DataFrame:
-    """Entries of which at least `least` others share a tag and a search term without a relation; the message counts them."""
-    own = entries.where("kind <> 'source' and status <> 'archived'").select("id", F.explode("search_terms").alias("term"), "tags")
-    counts = own.groupBy("term").agg(F.count("*").alias("n")).where("n between 2 and 50")  # a term of more holders hints at nothing
-    posted = own.join(counts.select("term"), "term")
-    pairs = posted.join(posted.select(F.col("id").alias("other"), "term", F.col("tags").alias("others")), "term").where(F.arrays_overlap("tags", "others") & (F.col("id") != F.col("other"))).select("id", "other").distinct()
-    linked = graph.neighbors(edges).select("id", F.col("neighbor").alias("other"))
-    hints = pairs.join(linked, ["id", "other"], "left_anti").groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+def _subsets(column: str) -> Column:
+    """The array's subsets but the empty one, each in the array's order."""
+    empty = F.array(F.array().cast("array<string>"))
+    return F.filter(F.aggregate(column, empty, lambda done, x: F.concat(done, F.transform(done, lambda s: F.array_append(s, x)))), lambda s: F.size(s) > 0)
+
+
+def missing_relation_hint(entries: DataFrame, edges: DataFrame, least: int = 2, most: int | None = None, meet: int = 50, wide: int = 10) -> DataFrame:
+    """Entries of which at least `least` others share a tag and a search term without a relation; the message counts them.
+    With most, terms of more holders hint at nothing, as the registered query's SQL has it.
+
+    Others by terms of up to `meet` holders are met one by one. Those by a more frequent (hot) term are counted and not met:
+    entries of equal hot terms and tags are a class, and by inclusion and exclusion over the subsets of both a class's count
+    is a sum of how many entries hold each subset. Entries of more than `wide` hot terms and tags are met one by one."""
+    whole = lambda c: F.sort_array(F.array_distinct(F.filter(c, lambda x: x.isNotNull())))
+    own = entries.where("kind <> 'source' and status <> 'archived'").select("id", whole("search_terms").alias("terms"), whole("tags").alias("tags"))
+    posted = own.select("id", F.explode("terms").alias("term"))
+    counts = posted.groupBy("term").agg(F.count("*").alias("n")).where("n > 1" if most is None else f"n between 2 and {most}")
+    posted = posted.join(counts.select("term", (F.col("n") > meet).alias("is_hot")), "term")
+    facts = posted.groupBy("id").agg(F.sort_array(F.collect_list(F.when(F.col("is_hot"), F.col("term")))).alias("hot")).join(own.select("id", "tags"), "id")
+    facts = facts.withColumn("narrow", F.size("hot") + F.size("tags") <= wide).where(F.size("tags") > 0)
+    posted = posted.join(facts.select("id", "narrow"), "id")
+    linked = graph.neighbors(edges).where("id <> neighbor").select("id", F.col("neighbor").alias("other"))
+    others = facts.select(F.col("id").alias("other"), F.col("tags").alias("others"), F.col("hot").alias("hots"), F.col("narrow").alias("narrows"))
+    counted = F.col("narrow") & F.col("narrows") & F.arrays_overlap("hot", "hots")
+
+    met = lambda a, b: a.select("id", "term").join(b.select(F.col("id").alias("other"), "term"), "term").where("id <> other").select("id", "other")
+    rare, hot, broad = posted.where("not is_hot"), posted.where("is_hot"), posted.where("is_hot and not narrow")
+    pairs = met(rare, rare).unionAll(met(broad, hot)).unionAll(met(hot, broad)).distinct()
+    pairs = pairs.join(linked, ["id", "other"], "left_anti").join(facts, "id").join(others, "other").where(F.arrays_overlap("tags", "others") & ~counted)
+    singles = pairs.groupBy("id").agg(F.count("*").alias("n"))
+
+    members = facts.where(F.col("narrow") & (F.size("hot") > 0))
+    classes = members.groupBy("hot", "tags").agg(F.count("*").alias("m"))
+    held = classes.select("hot", "tags", "m", F.explode(_subsets("hot")).alias("s")).select("hot", "tags", "m", "s", F.explode(_subsets("tags")).alias("u"))
+    sizes = held.groupBy("s", "u").agg(F.sum("m").alias("holders"))
+    sign = F.when((F.size("s") + F.size("u")) % 2 == 0, 1).otherwise(-1)
+    sums = held.join(sizes, ["s", "u"]).groupBy("hot", "tags").agg((F.sum(sign * F.col("holders")) - 1).alias("n"))  # the entry itself is no other
+    known = linked.join(facts, "id").join(others, "other").where(counted & F.arrays_overlap("tags", "others")).groupBy("id").agg((-F.count("*")).alias("n"))
+    hints = singles.unionAll(members.join(sums, ["hot", "tags"]).select("id", "n")).unionAll(known).groupBy("id").agg(F.sum("n").cast("long").alias("n")).where(F.col("n") >= least)
     return _findings(hints, "missing_relation_hint", "medium", F.col("n").cast("string"))
