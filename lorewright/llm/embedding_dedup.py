@@ -1,6 +1,6 @@
 """Near-duplicate embeddings by sorted projection passes.
 
-Equal vectors are one class from the start. In each of PASSES passes the classes are ordered by a code of concatenated random
+Equal vectors are one class from the start. In each of several passes (`passes_for`) the classes are ordered by a code of concatenated random
 hashes (signs of random projections, the pass's own), dealt by range of it, and every class is compared with the WINDOW next
 ones of its task. Of the pairs that reach the threshold each task emits a spanning forest, so a dense group costs its size a
 pass, not its square. Pairs of all passes are united into components.
@@ -11,8 +11,11 @@ are counted, not compared; every other member (the rim) is compared with all of
 members through which the component streams.
 
 What is approximate is whether the passes find a component's connections: two vectors at cosine 0.95 agree in a sign with
-chance 0.9, so in a window of a million vectors (a common prefix of about 14 signs) one pass finds them with chance 0.22, all
-passes with 0.998. Pairs that a range boundary parts are left to the other passes.
+chance 0.9, so among a million vectors of no common direction, which a window parts by about 15 signs, one pass finds them
+with chance 0.2. The number of passes grows with the number of classes so that all miss such a pair with chance MISS at most.
+Pairs that a range boundary parts are left to the other passes. MISS does not hold for a pair in a dense topic of very many
+vectors at a high cosine to each other: signs tell these apart less well than two vectors at random, and more of their links
+are missed.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from lorewright.llm.exact_topk import usable
 from lorewright.llm.shared import written
 
 THRESHOLD, PASSES, WINDOW, CHUNK = 0.95, 24, 32, 512
+#: The chance of missing a pair at the threshold among vectors of no common direction.
+MISS = 1e-4
 #: Rows that a task sorts and compares.
 TASK_ROWS = 50_000
 
@@ -42,6 +47,12 @@ def units(column: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def passes_for(total: int, threshold: float, window: int) -> int:
+    """Passes in which a pair at the threshold meets with chance 1 - MISS, PASSES at least."""
+    met = (1 - math.acos(threshold) / math.pi) ** max(0.0, math.log2(max(total, 1) / window))
+    return PASSES if met >= 1 else max(PASSES, math.ceil(math.log(MISS) / math.log1p(-met)))
+
+
 def _codes(passes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[tuple[int, int], np.ndarray] = {}
@@ -140,7 +151,7 @@ def _rims(threshold: float, most: int = 2048):
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: int | None = None, window: int = WINDOW) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of vectors (vec_id long, embedding array of numbers; other columns
     are left).
 
@@ -154,6 +165,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: in
     classes = rows.where("v is not null").groupBy("x", "y").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("v").alias("v"))
     classes = written(classes.withColumn("dim", F.size("v")), "classes")
     total = classes.count()
+    passes = passes_for(total, threshold, window) if passes is None else passes
     parts = max(1, -(-total * passes // TASK_ROWS))
     coded = classes.select("dim", "id", "v").mapInArrow(_codes(passes), f"pass int, dim int, code long, id long, v {classes.schema['v'].dataType.simpleString()}")
     dealt = coded.repartitionByRange(parts, "pass", "dim", "code", "id").sortWithinPartitions("pass", "dim", "code", "id")
