@@ -113,6 +113,11 @@ _add(
     "related_depth_2", lambda t: graph.related(t.edges, t.entries, t.entries.where("n % 50 = 0").select("id"), 2), "entries edges",
     f", {_NEAR}, seeds AS (SELECT id FROM entries WHERE n % 50 = 0), one AS (SELECT DISTINCT s.id AS seed, neighbor AS id FROM seeds s JOIN near USING (id) WHERE neighbor <> s.id), two AS (SELECT DISTINCT seed, neighbor AS id FROM one JOIN near USING (id)) SELECT seed, id, 1 AS layer FROM one UNION ALL SELECT seed, id, 2 FROM two WHERE id <> seed AND (seed, id) NOT IN (SELECT seed, id FROM one)",
 )
+#: The same from every entry.
+_add(
+    "related_depth_2_all", lambda t: graph.related(t.edges, t.entries, t.entries.select("id"), 2), "entries edges",
+    f", {_NEAR}, one AS (SELECT DISTINCT s.id AS seed, neighbor AS id FROM entries s JOIN near USING (id) WHERE neighbor <> s.id), two AS (SELECT DISTINCT seed, neighbor AS id FROM one JOIN near USING (id)) SELECT seed, id, 1 AS layer FROM one UNION ALL SELECT seed, id, 2 FROM two WHERE id <> seed AND (seed, id) NOT IN (SELECT seed, id FROM one)",
+)
 _REACH = """step AS (SELECT DISTINCT source_id AS node, target_id AS next FROM edges JOIN entries e ON e.id = target_id WHERE type IN ('source_refs', 'evidence_refs', 'derived_from')),
 walk AS (SELECT id, id AS node, kind, 0 AS depth FROM entries UNION SELECT w.id, s.next, e.kind, w.depth + 1 FROM walk w JOIN step s ON s.node = w.node JOIN entries e ON e.id = s.next WHERE w.kind <> 'source' AND w.depth < 9),
 reached AS (SELECT DISTINCT id, node AS source FROM walk WHERE kind = 'source')"""
@@ -232,6 +237,7 @@ _add("trigram_substring", lambda t: search.substring_hits(t.entries, "tion"), "e
 _SEEDS = "seeds AS (SELECT id, (n % 5 + 1)::DOUBLE AS score FROM entries WHERE n % 20 = 0)"
 _add("graph_expand", lambda t: search.expand(t.edges, t.entries, t.entries.where("n % 20 = 0").select("id", (F.col("n") % 5 + 1).cast("double").alias("score"))), "entries edges", f", {_SEEDS} SELECT x.id, max(score) * 0.5 AS score FROM (SELECT source_id AS seed, target_id AS id FROM edges UNION ALL SELECT target_id, source_id FROM edges) x JOIN seeds s ON s.id = seed JOIN entries e ON e.id = x.id AND e.status <> 'archived' WHERE x.id NOT IN (SELECT id FROM seeds) GROUP BY 1")
 _add("authority_boost", lambda t: _round(search.boost(t.entries.where("n % 20 = 0").select("id", (F.col("n") % 5 + 1).cast("double").alias("score")), t.authority), "score"), "entries", f", {_SEEDS}, {_AUTHORITY} SELECT id, round(score * (1 + 0.3 * authority / (SELECT max(authority) FROM seeds JOIN authority USING (id))), 6) AS score FROM seeds JOIN authority USING (id)")
+_add("authority_boost_all", lambda t: _round(search.boost(t.entries.select("id", (F.col("n") % 5 + 1).cast("double").alias("score")), t.authority), "score"), "entries", f", {_AUTHORITY} SELECT id, round((n % 5 + 1)::DOUBLE * (1 + 0.3 * authority / (SELECT max(authority) FROM authority)), 6) AS score FROM entries JOIN authority USING (id)")
 _ROUTES = f"""{_AUTHORITY}, hit AS (SELECT id FROM entries WHERE list_contains(search_terms, 'the')),
 word AS (SELECT id FROM entries WHERE contains(lower(body), 'the') OR contains(lower(title), 'the')),
 near AS (SELECT DISTINCT x.id FROM (SELECT source_id AS seed, target_id AS id FROM edges UNION ALL SELECT target_id, source_id FROM edges) x JOIN hit ON hit.id = seed JOIN entries e ON e.id = x.id AND e.status <> 'archived' WHERE x.id NOT IN (SELECT id FROM hit)),
