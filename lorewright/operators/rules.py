@@ -170,6 +170,14 @@ def alias_overlap(entries: DataFrame) -> DataFrame:
     return met.groupBy("left_id", F.col("id").alias("right_id")).agg(F.count("*").alias("shared"))
 
 
+def alias_holders(entries: DataFrame) -> DataFrame:
+    """(alias, representative, member): each holder of an alias that several entries hold, beside its smallest one. Any two
+    members of an alias overlap, and two entries' shared count is the number of aliases of which both are members."""
+    held = entries.where("status <> 'archived'").select("id", F.explode(F.array_distinct("aliases")).alias("alias")).where("alias is not null").distinct()
+    first = held.groupBy("alias").agg(F.min("id").alias("representative"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return held.join(first, "alias").select("alias", "representative", F.col("id").alias("member"))
+
+
 def semantic_candidates(vectors: DataFrame, asked: DataFrame, threshold: float = 0.92, most: int = 10) -> DataFrame:
     """(id, candidate, similarity) of vectors (id, kind, embedding): for each asked one (id) those of its kind at the
     threshold, the best `most` by similarity and id."""
