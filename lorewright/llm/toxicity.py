@@ -31,6 +31,8 @@ PER_CLASS, SENTENCES = 3000, 8
 LEAST_APART, SCREENED = 5.0, 5000
 #: What the toxic texts weigh in the fit.
 TOXIC_SHARE = 0.4
+#: The bias of a model that learned from no row: every text scores below 0.5.
+UNTRAINED = -1.0
 ROUNDS, LASSO, COUNTERFACTUAL = 300, 1e-4, 1.0
 #: Groups of identity terms; a term is swapped for the next of its group.
 IDENTITIES = (
@@ -96,7 +98,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, np.
     """Proximal gradient steps with momentum over texts' features, labels (0 or 1) and counterfactual pairs."""
     size = 1 << BITS
     if not len(y):
-        return Model(np.zeros(size, np.float32), 0.0)
+        return Model(np.zeros(size, np.float32), UNTRAINED)
     flat, label = np.concatenate(rows), np.repeat(y, [len(r) for r in rows])
     n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
     pos, neg = np.bincount(flat[label == 1], minlength=size), np.bincount(flat[label == 0], minlength=size)
@@ -139,7 +141,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, np.
 
 def train(docs: DataFrame, labels: DataFrame, keep: Column, per_class: int = PER_CLASS, strength: float = COUNTERFACTUAL, groups: tuple = IDENTITIES) -> Model:
     """A model of docs (doc_id, text) by labels (doc_id, toxic) where keep holds; without rows of both labels its scores are
-    those of no feature."""
+    those of no feature, and without any usable row below 0.5, so nothing is called toxic."""
     sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(labelled_sample(labels, "toxic", keep, per_class)), "doc_id")  # two classes: at most 2 * per_class rows
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
