@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewright.llm.shared import written
+from lorewright.llm.shared import drop, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -31,11 +31,15 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     state = None
     for _ in range(rounds):
-        edges = written(_small_star(_large_star(edges)), "components")
+        before, edges = edges, written(_small_star(_large_star(edges)), "components")
+        drop(before)
         now = edges.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)).alias("x")).first()
         if now == state:
             break
         state = now
     else:
         raise RuntimeError("components did not settle")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    out = edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots)
+    out._lorewright_path = edges._lorewright_path
+    return out
