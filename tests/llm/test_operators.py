@@ -109,7 +109,7 @@ def test_top_products(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in np.round(rng.standard_normal(6), 1)]) for i in range(300)] + [(300, [1.0, 0.5]), (400, None), (450, [float("inf")] * 6), (500, [0.1, None]), (None, [1.0] * 6), (550, [])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    for kw in ({}, {"shard": 40, "chunk": 2, "block": 8}):
+    for kw in ({}, {"shard": 40, "block": 8}):
         assert {tuple(r) for r in exact_topk.top_k(frame, **kw).collect()} == brute.top_products(rows)
     assert {tuple(r) for r in exact_topk.top_k(frame.where("vec_id < 3")).collect()} == brute.top_products(rows[:3])
     assert exact_topk.top_k(frame.limit(0)).count() == 0
