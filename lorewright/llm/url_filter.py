@@ -1,7 +1,8 @@
 """URL verdicts: host and path rules first, then a logistic regression on hashed character n-grams of host and path.
 
 DataFrame functions only. Training folds gradient steps over one row that holds the whole (bounded) labelled table; scoring
-is one projection over the URLs, without a shuffle or a join. The model is an array of BUCKETS + 1 doubles.
+is one projection over the URLs, without a shuffle or a join. The model is an array of BUCKETS + 1 doubles. The labelled table is
+url_table's, or one that is passed.
 """
 
 from __future__ import annotations
@@ -11,14 +12,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorewright.llm.shared import written
+from lorewright.llm import url_table
+from lorewright.llm.shared import drop, written
 
 BUCKETS = 8192
 GRAM = 3
-#: Gradient steps, each weight's over its own curvature; RATE is the share of a full step.
-STEPS = 30
-RATE = 0.05
-DECAY = 0.0005
+#: Accelerated gradient steps; RATE is their length, DECAY the weights' penalty.
+STEPS = 150
+RATE = 2.0
+DECAY = 0.002
 #: At most so many labelled URLs are learned from, those of smallest hash.
 MOST_LABELLED = 5000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -43,23 +45,11 @@ RULES = (
     Rule("block", "org", "/es/"),
 )
 
-#: The labelled URL table is spelled from words of hosts that are wanted or not; paths and ends say nothing.
-_BLOCKED = ("casino", "poker", "slots", "bets", "bonus", "adult", "xxx", "cams", "singles", "pills", "viagra", "pharma", "replica", "payday", "loans", "crack", "keygen", "warez", "torrent", "spam", "ads", "adserver", "track", "clicks", "popup", "prize", "lottery", "win", "free", "cheap", "malware", "phish")
-_ALLOWED = ("library", "university", "news", "museum", "weather", "science", "recipes", "history", "portal", "data", "health", "school", "travel", "parliament", "books", "research", "city", "music", "garden", "theatre", "journal", "nation", "there", "other", "then", "that", "letter", "forest", "river", "north", "stone", "harbour")
-_PATHS = ("/en/1024", "/de/331.html", "/fr/2048/", "/es/410", "/about", "/")
-_FRONTS = ("", "www.", "blog.", "m.")
-_ENDS = ("example.com", "example.org", "example.net", "com", "org", "net")
-
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """(url, blocked) of the built-in table: each word leads a host of its own and some two-word hosts."""
-    rows = []
-    for names, blocked, steps in ((_BLOCKED, 1, (0, 5, 11, 17)), (_ALLOWED, 0, (0, 5, 11, 17, 3, 7, 13, 19))):
-        for i, name in enumerate(names):
-            for j, step in enumerate(steps):
-                host = f"{name}-{names[(i + step) % len(names)]}" if step else name
-                rows.append((f"https://{_FRONTS[(i + j) % 4]}{host}.{_ENDS[(i + 2 * j) % 6]}{_PATHS[(3 * i + j) % 6]}", blocked))
-    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{url}', {blocked})" for url, blocked in rows) + " AS labelled(url, blocked)")  # no Python workers
+    """(url, blocked) of the built-in table."""
+    values = ", ".join(f"('{url}', {blocked})" for url, blocked in url_table.rows())
+    return spark.sql(f"SELECT * FROM VALUES {values} AS labelled(url, blocked)")  # no Python workers
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -70,9 +60,11 @@ def parts(url: Column) -> tuple[Column, Column]:
 
 
 def _grams(text: Column, tag: str) -> Column:
+    """Buckets of the n-grams of the text between ^ and $; the text is split once."""
     chars = F.filter(F.split(F.concat(F.lit("^"), text, F.lit("$")), ""), lambda c: c != "")
-    gram = lambda all_: lambda c, i: F.pmod(F.hash(F.lit(tag), c, *[F.get(all_, i + k) for k in range(1, GRAM)]), F.lit(BUCKETS))
-    return F.get(F.transform(F.array(chars), lambda all_: F.transform(all_, gram(all_))), F.lit(0))  # the URL is split once, not at each character
+    bucket = lambda all_, c, i: F.pmod(F.hash(F.lit(tag), c, *[F.get(all_, i + k) for k in range(1, GRAM)]), F.lit(BUCKETS))
+    every = lambda all_: F.transform(all_, lambda c, i: bucket(all_, c, i))
+    return F.get(F.transform(F.array(chars), every), F.lit(0))
 
 
 def features(host: Column, path: Column) -> Column:
@@ -88,31 +80,50 @@ def _sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
-def train(labelled: DataFrame, most: int = MOST_LABELLED) -> list[float]:
+def train(labelled: DataFrame, most: int = MOST_LABELLED, steps: int = STEPS) -> list[float]:
     """Weights by bucket, then the bias. Rows with a null label are left out; an empty table gives zeros, so that every
-    score is 0.5. Rows are taken in the order of their URLs' hashes, so reruns agree."""
-    picked = labelled.where("blocked is not null").select("url", F.col("blocked").cast("double").alias("y")).orderBy(F.xxhash64("url"), "url", "y").limit(most)
+    score is 0.5. Rows are taken in the order of their URLs' hashes, so reruns agree.
+
+    A URL's features weigh 1 / sqrt of their number, so its vector has length 1, and with the bias sqrt 2; the loss's
+    curvature is then 0.5 at most, and steps of RATE = 2 over it with momentum converge."""
+    picked = labelled.where("blocked is not null").select("url", F.col("blocked").cast("double").alias("y"))
+    picked = picked.orderBy(F.xxhash64("url"), "url", "y").limit(most)
     numbered = picked.withColumn("k", F.row_number().over(Window.orderBy(F.xxhash64("url"), "url", "y")) - 1)  # `most` rows at most
     numbered = written(numbered.select("k", "y", features(*parts(F.col("url"))).alias("f")), "labelled")
     rows = numbered.agg(F.sort_array(F.collect_list(F.struct("k", "y", "f"))).alias("rows"))
-    lists = numbered.select("k", F.explode("f").alias("i")).groupBy("i").agg(F.sort_array(F.collect_list("k")).alias("ks")).agg(F.map_from_entries(F.collect_list(F.struct("i", "ks"))).alias("by"))
-    one = rows.withColumn("by", F.lit(None).cast("map<int,array<int>>")).unionByName(lists.select(F.lit(None).cast("array<struct<k:int,y:double,f:array<int>>>").alias("rows"), "by"))
-    one = one.agg(F.first("rows", True).alias("rows"), F.first("by", True).alias("by"))
-    empty = F.array().cast("array<int>")
-    one = one.select("rows", F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda j: F.coalesce(F.try_element_at("by", j), empty)).alias("lists"), F.transform("rows", lambda r: 1 / F.sqrt(F.size(r["f"]))).alias("scale"))
-    n = F.greatest(F.size("rows"), F.lit(1))
-    curve = F.transform("lists", lambda ks: F.aggregate(ks, F.lit(0.0), lambda a, k: a + F.get("scale", k) * F.get("scale", k)) * 0.25 / n + 1e-4)
-    one = written(written(one, "labelled").withColumn("curve", curve), "labelled")  # else each lambda works these out again
-
-    def step(w: Column, _: Column) -> Column:
-        errors = F.transform("rows", lambda r: r["y"] - _sigmoid(_margin(w, r["f"])))
-        pull = lambda e, ks: F.aggregate(ks, F.lit(0.0), lambda a, k: a + F.get(e, k) * F.get("scale", k)) / n
-        moved = lambda e: F.transform("lists", lambda ks, j: F.get(w, j) + RATE * (pull(e, ks) - DECAY * F.get(w, j)) / F.get("curve", j))
-        bias = lambda e: F.get(w, F.lit(BUCKETS)) + 20 * RATE / n * F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-        return F.get(F.transform(F.array(errors), lambda e: F.concat(moved(e), F.array(bias(e)))), F.lit(0))
-
-    fitted = one.select(F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.array_repeat(F.lit(0.0), BUCKETS + 1), step).alias("w")).first()
-    return list(fitted["w"]) if fitted else [0.0] * (BUCKETS + 1)
+    lists = numbered.select("k", F.explode("f").alias("i")).groupBy("i").agg(F.sort_array(F.collect_list("k")).alias("ks"))
+    lists = lists.agg(F.sort_array(F.collect_list(F.struct("i", "ks"))).alias("lists"))
+    table = rows.withColumn("lists", F.lit(None).cast("array<struct<i:int,ks:array<int>>>"))
+    table = table.unionByName(lists.select(F.lit(None).cast("array<struct<k:int,y:double,f:array<int>>>").alias("rows"), "lists"))
+    table = table.agg(F.first("rows", True).alias("rows"), F.first("lists", True).alias("lists"))
+    # features are numbered densely for the fit: a row's are places in lists, from 1
+    places = F.map_from_arrays(F.transform("lists", lambda x: x["i"]), F.sequence(F.lit(1), F.size("lists")))
+    table = written(table.where("size(rows) > 0").withColumn("places", places), "labelled")
+    dense = lambda r: F.struct(r["y"].alias("y"), F.transform(r["f"], lambda i: F.element_at("places", i)).alias("f"), (1 / F.sqrt(F.size(r["f"]))).alias("scale"))
+    one = written(table.select("lists", F.transform("rows", dense).alias("rows")), "labelled")
+    n = F.size("rows")
+
+    def step(state: Column, t: Column) -> Column:
+        """state: the weights, the bias last, and the point that momentum has led to."""
+        bias = lambda v: F.get(v, F.size("lists"))
+        margin = lambda v, r: bias(v) + F.aggregate(r["f"], F.lit(0.0), lambda a, i: a + F.get(v, i - 1)) * r["scale"]
+        errors = lambda v: F.transform("rows", lambda r: (r["y"] - _sigmoid(margin(v, r))) * r["scale"])
+        plain = lambda v: F.aggregate("rows", F.lit(0.0), lambda a, r: a + r["y"] - _sigmoid(margin(v, r)))
+        pull = lambda e, x: F.aggregate(x["ks"], F.lit(0.0), lambda a, k: a + F.get(e, k))
+        moved = lambda v, e: F.transform("lists", lambda x, j: F.get(v, j) + RATE * (pull(e, x) / n - DECAY * F.get(v, j)))
+        new = lambda v: F.get(F.transform(F.array(errors(v)), lambda e: F.concat(moved(v, e), F.array(bias(v) + RATE * plain(v) / n))), F.lit(0))
+        led = lambda w, w0: F.zip_with(w, w0, lambda a, b: a + t / (t + 3) * (a - b))
+        both = F.transform(F.array(new(F.get(state, F.lit(1)))), lambda w: F.array(w, led(w, F.get(state, F.lit(0)))))
+        return F.get(both, F.lit(0))
+
+    start = F.array_repeat(F.array_repeat(F.lit(0.0), F.size("lists") + 1), 2)
+    fitted = one.select("lists.i", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step).alias("w")).first()
+    drop(numbered, table, one)
+    weights = [0.0] * (BUCKETS + 1)
+    if fitted:
+        for i, w in zip([*fitted["i"], BUCKETS], fitted["w"][0], strict=True):
+            weights[i] = w
+    return weights
 
 
 def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, labelled: DataFrame | None = None) -> DataFrame:
