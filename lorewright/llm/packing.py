@@ -3,7 +3,8 @@
 Each task streams its documents through one packer of bounded state. A document's full windows leave at once; its rest is
 routed to the shortest tier that holds it. Tiers are packed from the longest: every piece opens a window, whose gap takes
 the longest whole pieces of shorter tiers that fit and last a cut of another piece, so windows come out full. At the end of
-a task what is left leaves in windows of powers of two. Windows of one tier form step groups of equal token count.
+a task what is left leaves in windows of powers of two. Windows of one tier form step groups of equal token count, STEP_TOKENS; a
+task's last group of each tier may hold fewer.
 
 No shuffle: a window's pieces come from one task. Reruns of a task read the same rows and give the same windows; ids carry
 the task's number, so they are unique.
@@ -15,7 +16,7 @@ import functools
 import json
 import zlib
 from bisect import bisect_right, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,19 +41,46 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-@functools.lru_cache(maxsize=2)
-def encoder(path: str):
-    """The byte-level BPE of a tokenizer file. Its merges rank as its ids do, which lets the faster of the two libraries
-    give the same ids; the tests hold them against each other."""
-    import tiktoken
+def plain_byte_level(said: dict) -> bool:
+    """Whether a tokenizer file is byte-level BPE by PATTERN, without normaliser and options, whose merges rank as the ids of
+    what they make do, and whose added tokens are found wherever they stand."""
+    model, split = said["model"], said.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or said.get("normalizer") or split.get("type") != "ByteLevel":
+        return False
+    if split.get("add_prefix_space") or not split.get("use_regex", True):
+        return False
+    options = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+    if any(model.get(o) for o in options):
+        return False
+    if any(t.get(o) for t in said["added_tokens"] for o in ("single_word", "lstrip", "rstrip", "normalized")):
+        return False
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [model["vocab"].get("".join(m), -1) for m in merges]
+    added = {t["content"] for t in said["added_tokens"]}
+    longer = {i for k, i in model["vocab"].items() if len(k) > 1 and k not in added}
+    return all(a < b for a, b in zip(made, made[1:])) and set(made) == longer  # noqa: B905
 
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> Callable[[str], np.ndarray]:
+    """Encodes a text by a tokenizer file, no special tokens added, as little-endian unsigned 32-bit ids. Where the file is
+    plain byte-level BPE the faster of the two libraries gives the same ids (the tests hold them against each other); any
+    other file is read by `tokenizers`."""
     with open(path, encoding="utf-8") as f:
         said = json.load(f)
+    if not plain_byte_level(said):
+        from tokenizers import Tokenizer
+
+        slow = Tokenizer.from_file(path)
+        return lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, "<u4")
+    import tiktoken
+
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     spelled = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
     special = {x["content"]: x["id"] for x in said["added_tokens"]}
     ranks = {bytes(spelled[c] for c in k): v for k, v in said["model"]["vocab"].items() if k not in special}
-    return tiktoken.Encoding("lorewright", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    fast = tiktoken.Encoding("lorewright", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    return lambda text: fast.encode_to_numpy(text, allowed_special="all").astype("<u4")
 
 
 class Packer:
@@ -154,7 +182,7 @@ def _packed(path: str, tiers: tuple[int, ...], keep_ids: bool):
         for whole in batches:
             for batch in slices(whole, "text"):
                 for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    ids = np.append(code.encode_to_numpy(text or "", allowed_special="all"), np.uint32(END_ID)).astype("<u4")
+                    ids = np.append(code(text or ""), np.uint32(END_ID)).astype("<u4")
                     put(packer.add(doc, ids))
                 if len(rows) > 10_000:
                     yield flushed()
