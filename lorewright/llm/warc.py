@@ -126,6 +126,13 @@ def _renamed(folder: str):
     return run
 
 
+def _by_shard(manifest: DataFrame) -> DataFrame:
+    """The manifest dealt by the shard in its names, a task a shard; a count of partitions that is given isn't coalesced."""
+    shard = F.substring("name", 7, 6).cast("int")
+    last = manifest.agg(F.max(shard)).first()[0]
+    return manifest.repartitionById((last or 0) + 1, shard)
+
+
 def _shards(thin: DataFrame, shard_bytes: int) -> tuple[Column, int]:
     """The shard of a row by page_id and, where one bin holds more than a shard, by digest; and how many there are. A null
     page_id sorts first."""
@@ -169,7 +176,7 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, roll_by
     files.create_dir(root, recursive=True)
     dealt = rows.repartitionById(count, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", "tag")
     staged = written(dealt.mapInArrow(_written(folder, roll_bytes), MANIFEST), "manifest")
-    manifest = staged.mapInArrow(_renamed(folder), MANIFEST)
+    manifest = _by_shard(staged).mapInArrow(_renamed(folder), MANIFEST)
     manifest.write.parquet(f"{folder.rstrip('/')}/_manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder.rstrip('/')}/_manifest")
 
@@ -224,7 +231,7 @@ def _read(folder: str):
 def read(manifest: DataFrame, folder: str) -> DataFrame:
     """The records of the archives of a manifest, digests and lengths taken from what was read: page_id, payload_bytes,
     payload_digest, record_type, refers_to, url (percent-encoded), archive, offset."""
-    return manifest.select("name").repartition("name").mapInArrow(_read(folder), READ)
+    return _by_shard(manifest.select("name")).mapInArrow(_read(folder), READ)
 
 
 def round_trip(pages: DataFrame, spark: SparkSession) -> DataFrame:
