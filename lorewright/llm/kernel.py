@@ -126,8 +126,8 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int = 5):
             yield h[:0]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
-    """The batch in runs of rows of at most limit bytes of the column (one row may exceed it)."""
+def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20, rows: int = 1 << 20):
+    """The batch in runs of at most `rows` rows and limit bytes of the column (one row may exceed the latter)."""
     data = batch.column(column)
     if isinstance(data, pa.ChunkedArray):
         data = data.combine_chunks()
@@ -135,5 +135,6 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
     a = 0
     while a < batch.num_rows:
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, side="right")) - 1)
+        b = min(b, a + rows, batch.num_rows)
         yield batch.slice(a, b - a)
         a = b

@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorewright.llm.kernel import buffers, slices
-from lorewright.llm.shared import crc_of_id, smallest_hashes
+from lorewright.llm.shared import crc_of_id, fresh, smallest_hashes
 
 DIM = 4096
+#: Rows whose counts are held at once.
+ROWS = 1024
 #: The bound of the labelled sample: rows of each language, and rows in all.
 PER_LANGUAGE, MOST_ROWS = 400, 2400
 ROUNDS, COST = 150, 10.0
@@ -50,7 +52,9 @@ def counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     raw, at = buffers(pc.utf8_lower(texts))
     letters = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
     codes = _LETTERS[raw]
-    grams = ((codes[:-2] * np.uint32(0x9E3779B1) + codes[1:-1]) * np.uint32(0x85EBCA6B) + codes[2:]) * np.uint32(0xC2B2AE35) >> np.uint32(20) if len(codes) > 2 else codes[:0]
+    grams = codes[:0]
+    if len(codes) > 2:
+        grams = ((codes[:-2] * np.uint32(0x9E3779B1) + codes[1:-1]) * np.uint32(0x85EBCA6B) + codes[2:]) * np.uint32(0xC2B2AE35) >> np.uint32(20)
     out = np.zeros((len(texts), DIM), np.float32)
     for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
         if b - a > 2:
@@ -137,41 +141,56 @@ def fit(x: np.ndarray, langs: np.ndarray) -> Model:
 
 
 def train(docs: DataFrame, keep: Column, per_language: int = PER_LANGUAGE, most: int = MOST_ROWS) -> Model | None:
-    """A model of docs (doc_id, text, lang) where keep holds and neither text nor lang is null; None if there is no row."""
-    rows = docs.where(keep & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    """A model of docs (doc_id, text, lang) where keep holds and neither text nor lang is null; None if there is no row. Of
+    more than `most` languages (and of more than per_language rows of one) a bounded sample is learned from, so the rarest
+    languages may stay unlearned."""
+    known = keep & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()
+    rows = docs.where(known).select("doc_id", "text", "lang")
     ids = smallest_hashes(rows.select("doc_id", "lang").distinct(), "lang", per_language)
-    taken = ids.orderBy("_n", "lang").limit(most).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
-    sample = rows.join(F.broadcast(taken), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))  # at most `most` rows
+    taken = ids.orderBy("_n", "lang").limit(most).select("doc_id", "lang")
+    sample = rows.join(F.broadcast(taken), ["doc_id", "lang"])  # at most `most` rows
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", rows=ROWS):
                 x, _ = counts(batch.column("text"))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "lang", "x"])
+                columns = [batch.column("doc_id"), batch.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang", "x"])
 
-    found = sorted(sample.select("doc_id", "lang", "text").mapInArrow(featured, "doc_id long, lang string, x binary").limit(2 * most).collect(), key=lambda r: (r.lang, r.doc_id, bytes(r.x)))
+    found = sample.select("doc_id", "lang", "text").mapInArrow(featured, "doc_id long, lang string, x binary").limit(2 * most).collect()
+    found = sorted(found, key=lambda r: (r.lang, r.doc_id, bytes(r.x)))
     if not found:
         return None
     return fit(np.stack([np.frombuffer(r.x, np.float32) for r in found]), np.array([r.lang for r in found], object))
 
 
-def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with lang_pred and score behind its columns (text string is read; columns of these names are replaced)."""
-    docs = docs.drop("lang_pred", "score")
+def judge(texts: pa.Array, model: Model | None) -> tuple[list[str], np.ndarray]:
+    """Each text's language and score."""
+    x, letters = counts(texts)
+    if model is None:
+        return [UNDEFINED] * len(x), np.zeros(len(x))
+    number, score = model.predict(x)
+    return [model.languages[n] if ok else UNDEFINED for n, ok in zip(number, letters, strict=True)], np.where(letters, score, 0.0)
+
+
+def predicted(docs: DataFrame, model: Model | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with language and score, called `names`, behind its columns (text string is read)."""
+    out = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
-                x, letters = counts(batch.column("text"))
-                if model is None:
-                    names, score = [UNDEFINED] * len(x), np.zeros(len(x))
-                else:
-                    number, score = model.predict(x)
-                    names = [model.languages[n] if ok else UNDEFINED for n, ok in zip(number, letters, strict=True)]
-                columns = [*batch.columns, pa.array(names, pa.string()), pa.array(np.where(letters, score, 0.0), pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "lang_pred", "score"])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+            for batch in slices(whole, "text", rows=ROWS):
+                lang, score = judge(batch.column("text"), model)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], out.names)
+
+    return docs.mapInArrow(run, out)
+
+
+def known(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of docs, with their columns whatever their names, whose language is a learned one: null and empty texts and
+    those without a letter go, and all where nothing was learned."""
+    names = fresh(docs.columns, "lang_pred", "score")
+    return predicted(docs, model, tuple(names)).where(F.col(f"`{names[0]}`") != UNDEFINED).drop(*names)
 
 
 def identified(docs: DataFrame, held_out: Column | None = None) -> DataFrame:

@@ -66,9 +66,11 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
                     contexts(ids, before, sums)
         table = sums.reshape(BUCKETS, DIM)
         own = np.flatnonzero(table.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *(pa.array(table[own, i].astype(np.float32)) for i in range(DIM))], ["word", *names])
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *(pa.array(table[own, i].astype(np.int64)) for i in range(DIM))], ["word", *names])
 
-    found = docs.select("text").mapInArrow(run, "word int, " + ", ".join(f"{n} float" for n in names)).groupBy("word").agg(*[F.sum(n).alias(n) for n in names]).toPandas()  # BUCKETS rows at most
+    # sums of whole numbers, so their order doesn't show; BUCKETS rows at most
+    sums = docs.select("text").mapInArrow(run, "word int, " + ", ".join(f"{n} long" for n in names)).groupBy("word").agg(*[F.sum(n).alias(n) for n in names])
+    found = sums.toPandas()
     out = np.zeros((BUCKETS, DIM))
     out[found["word"].to_numpy()] = found[names].to_numpy()
     return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
@@ -108,9 +110,32 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
 
+def calibrated(logits: np.ndarray, y: np.ndarray, share: float, rounds: int = 50) -> tuple[float, float]:
+    """Temperature and shift under which logits / temperature + shift is likeliest for the labels at the prior `share` of
+    label 1. Targets are drawn in by one observation of each label, so separable rows don't run off."""
+    n1, n0 = (y == 1).sum(), (y == 0).sum()
+    target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    weight = np.where(y == 1, share / n1, (1 - share) / n0)
+    x = np.stack([logits.astype(np.float64), np.ones(len(y))], axis=1)
+    loss = lambda t: float((weight * (np.logaddexp(0, x @ t) - target * (x @ t))).sum())
+    theta = np.array([1.0, 0.0])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 1e-9 * np.eye(2), x.T @ (weight * (p - target)))
+        size = 1.0
+        while size > 1e-6 and loss(theta - size * step) > loss(theta):
+            size /= 2
+        theta = theta - size * step
+        if np.abs(size * step).max() < 1e-9:
+            break
+    slope = max(float(theta[0]), 1e-3)
+    return 1 / slope, float(theta[1])
+
+
 def fit(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, share: float = 0.5) -> Model:
-    """Train on four fifths of the rows by Adam steps, and fit the temperature on the others. share: of label 1 among all
-    labelled rows; the sample's classes are reweighted to be alike in training, and the scores shifted back half way."""
+    """Train on four fifths of the rows by Adam steps, and fit temperature and shift on the others. share: of label 1 among
+    all labelled rows; the sample's classes weigh alike in training, and the calibration takes them at that share. Where too
+    few rows are held back to calibrate on, the shift alone follows from the share."""
     if not len(y):
         x, y = np.zeros((1, 2 * DIM + 1), np.float32), np.zeros(1)
     rng = np.random.default_rng(11)
@@ -134,20 +159,21 @@ def fit(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, share: float = 0.5) -
                 second[i] = 0.999 * second[i] + 0.001 * g**2
                 layers[i] = layers[i] - RATE * first[i] / (1 - 0.9**t) / (np.sqrt(second[i] / (1 - 0.999**t)) + 1e-8)
     model = Model(vectors, mean, spread, [p.astype(np.float32) for p in layers], 1.0, 0.0)
-    model.shift = 0.5 * float(np.log((share + 1e-3) / (1 - share + 1e-3)))
     if len(held) and 0 < y[held].sum() < len(held):
-        logits, side = model.logits(x[held]), np.where(y[held] == 1, 1.0, -1.0)
-        tried = np.exp(np.linspace(np.log(0.25), np.log(16), 60))
-        model.temperature = float(tried[np.argmin([(each[held] * np.logaddexp(0, -side * logits / t)).mean() for t in tried])])
+        model.temperature, model.shift = calibrated(model.logits(x[held]), y[held], min(max(share, 0.01), 0.99))
+    else:
+        model.shift = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
     return model
 
 
 def train(docs: DataFrame, labels: DataFrame, keep: Column, per_class: int = PER_CLASS) -> Model:
-    """A model of docs (doc_id, text) by labels (doc_id, quality) where keep holds; contexts come from all docs."""
+    """A model of docs (doc_id, text) by labels (doc_id, quality) where keep holds; contexts come from all docs. Labels
+    other than 0 and 1 take no part."""
     vectors = word_vectors(docs)
-    own = labels.where(F.col("doc_id").isNotNull() & keep)
+    own = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & keep)
     good, all_ = own.agg(F.count(F.when(F.col("quality") == 1, 1)), F.count("quality")).first()
-    sample = docs.select("doc_id", "text").join(F.broadcast(labelled_sample(labels, "quality", keep, per_class)), "doc_id")  # two classes: at most 2 * per_class rows
+    taken = F.broadcast(labelled_sample(labels, "quality", keep, per_class))  # two labels: at most 2 * per_class rows
+    sample = docs.select("doc_id", "text").join(taken, "doc_id")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -160,17 +186,17 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, per_class: int = PER
     return fit(x, np.array([r.label for r in found], float), vectors, good / all_ if all_ else 0.5)
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score and predicted behind its columns (text string is read; columns of these names are replaced)."""
-    docs = docs.drop("score", "predicted")
+def scored(docs: DataFrame, model: Model, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs with score and predicted, called `names`, behind its columns (text string is read)."""
+    out = T.StructType([*docs.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 score = model.score(batch.column("text"))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], out.names)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return docs.mapInArrow(run, out)
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -62,6 +62,17 @@ def remove(spark: SparkSession) -> None:
     _delete(spark, _own(spark))
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores behind those that columns (in any case) or names before them have."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def crc_of_id(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as decimal text."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary"))

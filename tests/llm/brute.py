@@ -31,13 +31,13 @@ def shingles(text, width=5):
     return frozenset(tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))) if w else frozenset()
 
 
-def minhash_groups(docs):
+def minhash_groups(docs, percent=85):
     """{doc_id: (n_shingles, component)} of (doc_id, text) with unique ids."""
     sets = {d: shingles(t) for d, t in docs}
     posted, links = {}, []
     for d, s in sets.items():
         common = Counter(o for x in s for o in posted.get(x, ()))
-        links += [(o, d) for o, n in common.items() if 100 * n >= 85 * (len(s) + len(sets[o]) - n)]
+        links += [(o, d) for o, n in common.items() if 100 * n >= percent * (len(s) + len(sets[o]) - n)]
         for x in s:
             posted.setdefault(x, []).append(d)
     top = roots(sets, links)

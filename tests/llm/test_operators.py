@@ -216,10 +216,14 @@ def test_urls(spark):
 
 
 def test_url_model(spark):
-    bad, good = "https://m.casino-cams.example.org/en/5", "https://www.thernd.example.net/fr/9"
-    got = {r.page_id: r.verdict for r in url_filter.judged(spark.createDataFrame([(1, bad), (2, good)], "page_id long, url string"), rules=()).collect()}
-    assert got == {1: "block", 2: "allow"}
-    assert set(url_filter.train(url_filter.labelled_urls(spark).limit(0))) == {0.0}
+    """Of three quarters of the labelled table the model learns them, and tells the others apart better than by chance."""
+    labelled = url_filter.labelled_urls(spark)
+    held = F.pmod(F.xxhash64("url"), F.lit(4)) == 0
+    pages = labelled.select(F.xxhash64("url").alias("page_id"), "url", "blocked", held.alias("held"))
+    got = url_filter.judged(pages, rules=(), labelled=labelled.where(~held)).join(pages, "page_id")
+    share = {r.held: r.right for r in got.groupBy("held").agg(F.avg(((F.col("verdict") == "block") == (F.col("blocked") == 1)).cast("int")).alias("right")).collect()}
+    assert share[False] > 0.97 and share[True] > 0.65
+    assert set(url_filter.train(labelled.limit(0))) == {0.0}
     assert url_filter.judged(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
@@ -260,6 +264,22 @@ def test_packing(spark):
     assert packing.packed(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("change", [None, {"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}, {"pre_tokenizer": {"type": "Whitespace"}}])
+def test_any_tokenizer_file(tmp_path, change):
+    """What isn't plain byte-level BPE is read by the library that the file is made for."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    said = json.load(open(packing.default_vocabulary(), encoding="utf-8")) | (change or {})
+    path = str(tmp_path / "t.json")
+    json.dump(said, open(path, "w", encoding="utf-8"))
+    assert packing.plain_byte_level(said) == (change is None)
+    hf, rng = Tokenizer.from_file(path), random.Random(8)
+    texts = ["", "Hello  World's 12.5 <|endoftext|>\n\n end "] + ["".join(rng.choices("aB é中🙂\t\n '1.-", k=60)) for _ in range(40)]
+    assert all(list(packing.encoder(path)(t)) == hf.encode(t, add_special_tokens=False).ids for t in texts)
+
+
 # --- 9 WARC
 def test_archives(spark):
     big = "x" * 1500
@@ -310,9 +330,3 @@ def test_oracle(spark, name):
     assert same(QUERIES[name](spark, SF), connect(SF), ORACLES[name])
 
 
-def test_extra_columns_do_not_matter(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40).cache()
-    clashing = docs.withColumns({c: F.lit("x") for c in ("score", "label", "id", "size", "key", "token", "component", "shard", "n", "copies", "ids")})
-    key = lambda df: sorted(map(repr, df.collect()))
-    for run in (minhash_dedup.near_duplicates, lang_id.identified, mixing.copies, packing.packed):
-        assert key(run(docs)) == key(run(clashing))

@@ -22,7 +22,7 @@ def test_stages_against_brute_force(spark):
     assert {r.doc_id for r in known.collect()} == {r.doc_id for r in lang_id.identified(clean).where("lang_pred <> 'und'").collect()} and known.columns == columns
 
     kept = steps["minhash_near_dedup"](spark, known, SF).cache()
-    groups = brute.minhash_groups([(r.doc_id, r.text) for r in known.collect()])
+    groups = brute.minhash_groups([(r.doc_id, r.text) for r in known.collect()], corpus_pipeline.NEAR_PERCENT)
     assert {r.doc_id for r in kept.collect()} == {d for d, (_, c) in groups.items() if c == d} and kept.columns == columns
 
     mixed = steps["mixing"](spark, kept, SF).cache()
@@ -37,7 +37,7 @@ def test_stages_against_brute_force(spark):
     code = packing.encoder(packing.default_vocabulary())
     want = Counter()
     for r in mixed.collect():
-        want[r.doc_id] += len(code.encode_ordinary(r.text)) + 1
+        want[r.doc_id] += len(code(r.text)) + 1
     got = Counter()
     for r in packed:
         got[r.doc_id] += r.length
