@@ -22,33 +22,43 @@ NEAR_PERCENT, NEAR_MATCHES = 80, 33
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, trained on the labelled rows that op5 doesn't hold out, scores below 0.5."""
+    """Documents that the toxicity model, trained on the labelled rows that op5 doesn't hold out, scores below 0.5. Null and
+    empty texts have the score of no feature and stay; repeated rows are judged alike; other columns are kept, whatever
+    their names."""
     ship(spark)
-    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.coalesce(crc_of_id() % 5 != 0, F.lit(False)))
-    return toxicity.scored(docs, model).where("predicted = 0").select(*docs.columns)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.clean(docs, toxicity.train(docs, labels, F.coalesce(crc_of_id() % 5 != 0, F.lit(False))))
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is one of the learned; those without a letter go."""
+    """Documents whose language is one of the learned; those without a letter go, null and empty texts among them. Repeated
+    rows are judged alike; other columns are kept, whatever their names."""
     ship(spark)
-    model = lang_id.train(docs, F.coalesce(crc_of_id() % 4 != 2, F.lit(False)))
-    return lang_id.predicted(docs, model).where(F.col("lang_pred") != lang_id.UNDEFINED).select(*docs.columns)
+    return lang_id.known(docs, lang_id.train(docs, F.coalesce(crc_of_id() % 4 != 2, F.lit(False))))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near-duplicates, of similarity 0.8 on five-word shingles; rows of null doc_id stay."""
+    """One row of each group of near-duplicates, of similarity 0.8 on five-word shingles: that of the smallest doc_id, and of
+    rows that repeat it that of the smallest text hash. Rows of null doc_id are compared with nothing and stay."""
     ship(spark)
-    kept = minhash_dedup.near_duplicates(docs, percent=NEAR_PERCENT, matches=NEAR_MATCHES).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(*docs.columns).unionAll(docs.where("doc_id is null"))
+    found = minhash_dedup.near_duplicates(docs, percent=NEAR_PERCENT, matches=NEAR_MATCHES).where("kept and doc_id is not null")
+    kept = found.groupBy("doc_id").agg(F.count("*").alias("n"))
+    own = docs.where("doc_id is not null")
+    once = own.join(kept.where("n = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    again = own.join(kept.where("n > 1").select("doc_id"), "doc_id", "left_semi")
+    # one row of each id: the least by hash, found with partial aggregation, so an id of very many rows meets in no task
+    first = again.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("row")).select("row.*")
+    return once.unionAll(first.select(*docs.columns)).unionAll(docs.where("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them. Null texts have no words, a null source is one of its own, repeated rows
+    are documents of their own; other columns are kept, whatever their names."""
     return mixing.mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of packed windows."""
+    """Pieces of packed windows. A null or empty text is one token; repeated rows and null ids are documents of their own."""
     ship(spark)
     return packing.packed(docs)
 
