@@ -5,17 +5,18 @@ from __future__ import annotations
 
 import secrets
 import time
+from collections.abc import Callable
 from datetime import UTC, date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewright.errors import ConflictError, NotFoundError, ValidationError
+from lorewright.errors import BodyTooLong, BodyTooShort, ConflictError, NotFoundError, ValidationError
 from lorewright.functions import text
 from lorewright.model import ENTRY_SCHEMA, FINDING_SCHEMA, FRESHNESS, KINDS, LEAST_BODY, MOST_BODY, ORIGINS, QUEUE_SCHEMA, RELATION_SCHEMA, RELATION_TYPES, REVIEW_DAYS, STATUSES
-from lorewright.operators import analytics, filters, graph, metrics, rules, search
+from lorewright.operators import analytics, checks, dense, filters, graph, lists, metrics, rules, search
 from lorewright.plans.shipping import ship
-from lorewright.sources import markdown
+from lorewright.sources import logs, markdown
 from lorewright.sources.snapshots import Snapshots
 
 ACCESS_SCHEMA = "entry_id string, op string, accessed_at timestamp"
@@ -38,6 +39,8 @@ def ulid(now: float | None = None) -> str:
 
 
 class KnowledgeBase:
+    entries_schema = ENTRY_SCHEMA
+
     def __init__(self, spark: SparkSession, root: str, today: date | None = None):
         self.spark, self.root, self.tables = spark, root, Snapshots(spark, f"{root}/.tables")
         self._today = today
@@ -96,8 +99,7 @@ class KnowledgeBase:
 
     def search(self, query: str, kinds: list[str] | None = None, where: dict[str, object] | None = None, limit: int = 20, graph_expansion: bool = True, archived: bool = False) -> DataFrame:
         authority = self.metrics().select(F.col("entry_id").alias("id"), F.col("authority_score").alias("authority"))
-        found = search.search(self.entries(), self.relations(), authority, query, kinds, limit, graph_expansion, archived)
-        return found.join(filters.matching(self.entries(), where).select("id"), "id", "left_semi").orderBy(F.desc("score"), "id") if where else found
+        return search.search(self.entries(), self.relations(), authority, query, kinds, limit, graph_expansion, archived, where=where)
 
     def related(self, entry_id: str, depth: int = 1) -> DataFrame:
         return graph.related(self.relations(), self.entries(), self.entries().where(F.col("id") == entry_id).select("id"), depth).select("id", "layer")
@@ -118,9 +120,11 @@ class KnowledgeBase:
         if not (entry.get("title") or "").strip():
             raise ValidationError("title is missing")
         body = entry.get("body") or ""
-        if len(body.encode()) > MOST_BODY or (entry["kind"] != "source" and len(body.strip()) < LEAST_BODY):
-            raise ValidationError("body is too long or too short")
-        if entry["kind"] == "source" and not str(entry.get("source_url")).startswith(("http://", "https://", "knowledge:")):
+        if len(body.encode()) > MOST_BODY:
+            raise BodyTooLong("body is too long", {"length": len(body.encode()), "maximum": MOST_BODY})
+        if entry["kind"] != "source" and len(body.strip()) < LEAST_BODY:
+            raise BodyTooShort("body is too short", {"length": len(body.strip()), "minimum": LEAST_BODY})
+        if entry["kind"] == "source" and not str(entry.get("source_url")).startswith(("http://", "https://", "knowledge://")):
             raise ValidationError("source_url")
         row = self._frame([entry])
         problems = [r.problem for r in filters.search_terms_problems(row).select("problem").collect() if r.problem != "no_cjk"]
@@ -153,7 +157,7 @@ class KnowledgeBase:
         near = (F.greatest(F.length("title"), F.length(title)) >= 4) & (F.levenshtein("title", title, 2) >= 0)
         band = 2 * F.least(F.length("title"), F.length(title)) >= 0.85 * (F.length("title") + F.length(title))
         same = F.arrays_overlap("aliases", F.array(*[F.lit(n) for n in names])) | near | (F.when(band, text.similarity_ratio("title", title)) >= 0.85)
-        return [r.id for r in others.where(same).select("id").orderBy("id").limit(50).collect()]
+        return [r.id for r in others.where(same).select("id").orderBy("id").collect()]  # entries nearly of one name
 
     # --- mutations
     def ingest(self, kind: str, payload: dict, policy: str = "strict") -> dict:
@@ -285,48 +289,98 @@ class KnowledgeBase:
         reached = graph.cut(graph.reachable_sources(entries, edges))
         facts = graph.cut(metrics.evidence(entries, edges, today, reached))
         heat, relevance = metrics.retrieval_heat(self.access_log(), today), metrics.action_relevance(entries, edges)
-        found = [
-            rules.source_reachability(entries, reached), rules.view_as_evidence(entries, edges), rules.source_context(entries, edges), rules.dossier_outdated(entries, facts, reached),
-            rules.evidence_singular(entries, edges, facts), rules.evidence_singular(entries, edges, facts, True), rules.fossil_concept(entries, facts, relevance), rules.monoculture(entries, facts),
-            rules.supersedes_cycle(edges), rules.demote(entries, edges, facts), rules.merge(entries, edges), rules.retract(entries, edges, facts), rules.premise_shaken(entries, edges, facts, heat),
-            rules.crystallize(entries, edges), rules.internal_split(entries, edges), rules.divergence(entries, facts, heat), rules.promotion_signal(entries, edges, facts, relevance),
-        ]
-        return self._findings(found)
+        return self._findings({
+            "source_reachability": lambda: rules.source_reachability(entries, reached), "view_as_evidence": lambda: rules.view_as_evidence(entries, edges),
+            "source_context": lambda: rules.source_context(entries, edges), "dossier_outdated": lambda: rules.dossier_outdated(entries, facts, reached),
+            "evidence_singular": lambda: rules.evidence_singular(entries, edges, facts), "pseudo_stable": lambda: rules.evidence_singular(entries, edges, facts, True),
+            "fossil_concept": lambda: rules.fossil_concept(entries, facts, relevance), "monoculture": lambda: rules.monoculture(entries, facts),
+            "supersedes_cycle": lambda: rules.supersedes_cycle(edges), "demote": lambda: rules.demote(entries, edges, facts), "merge": lambda: rules.merge(entries, edges),
+            "retract": lambda: rules.retract(entries, edges, facts), "premise_shaken": lambda: rules.premise_shaken(entries, edges, facts, heat),
+            "crystallize": lambda: rules.crystallize(entries, edges), "internal_split": lambda: rules.internal_split(entries, edges),
+            "divergence": lambda: rules.divergence(entries, facts, heat), "promotion_signal": lambda: rules.promotion_signal(entries, edges, facts, relevance),
+        })
 
     def doctor(self) -> DataFrame:
         """Findings of the integrity rules."""
         entries, edges = self.entries(), self.relations()
-        plain = lambda df, rule, severity, target, message: df.select(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), F.col(target).alias("target_id"), F.col(message).alias("message"))
+        plain = lambda df, rule, severity, target, message: df.select(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), F.col(target).alias("target_id"), F.col(message).cast("string").alias("message"))
         twice = entries.groupBy("id").agg(F.array_join(F.collect_list("file_path"), ",").alias("paths"), F.count("*").alias("n")).where("n > 1")
         files = markdown.files(self.spark, self.root).select("file_path").join(entries.select("file_path"), "file_path", "left_anti")
-        found = [
-            plain(rules.broken_relations(entries, edges), "broken_relations", "high", "source_id", "target_id"), plain(rules.alias_conflicts(entries), "alias_conflicts", "medium", "alias", "ids"),
-            plain(rules.orphan_relation_types(edges), "orphan_relation_type", "warning", "type", "type"), plain(twice, "id_uniqueness", "high", "id", "paths"), plain(files, "orphan_files", "medium", "file_path", "file_path"),
-            plain(rules.term_near_duplicates(entries), "terminology_near_duplicate", "medium", "left_term", "right_term"),
-            plain(entries.where(text.has_nfd_residual(F.col("title"))), "nfc_residual_in_frontmatter", "high", "id", "title"),
-            plain(entries.where(F.col("body").rlike("[\\x{3000}\\x{FF01}-\\x{FF5E}]")), "fullwidth_in_body", "low", "id", "file_path"),
-        ]
-        return self._findings(found)
-
-    def _findings(self, found: list[DataFrame]) -> DataFrame:
-        union = found[0]
-        for f in found[1:]:
-            union = union.unionByName(f)
+        nfc = lambda: checks.nfc_residuals(entries).select("rule_id", F.lit("high").alias("severity"), F.col("id").alias("target_id"), F.concat_ws(": ", "field", "value").alias("message"))
+        aliases = lambda: checks.cross_language_aliases(entries).withColumn("pair", F.concat("left_id", F.lit(" vs "), "right_id"))
+        fallback = lambda: checks.fallback_summary(logs.fallbacks(self.spark, self.root), int(time.time())).withColumn("said", F.concat_ws(": ", "n", F.array_join("tokens", ",")))
+        stale = lambda: rules.metrics_stale(entries, self.metrics().select("entry_id", "updated_at"))
+        return self._findings({
+            "broken_relations": lambda: plain(rules.broken_relations(entries, edges), "broken_relations", "high", "source_id", "target_id"),
+            "alias_conflicts": lambda: plain(rules.alias_conflicts(entries), "alias_conflicts", "medium", "alias", "ids"),
+            "orphan_relation_type": lambda: plain(rules.orphan_relation_types(edges), "orphan_relation_type", "warning", "type", "type"),
+            "id_uniqueness": lambda: plain(twice, "id_uniqueness", "high", "id", "paths"), "orphan_files": lambda: plain(files, "orphan_files", "medium", "file_path", "file_path"),
+            "terminology_near_duplicate": lambda: plain(rules.term_near_duplicates(entries), "terminology_near_duplicate", "medium", "left_term", "right_term"),
+            "terminology_cross_language_alias": lambda: plain(aliases(), "terminology_cross_language_alias", "medium", "pair", "shared"),
+            "nfc_residual": nfc, "fullwidth_in_body": lambda: plain(checks.fullwidth(entries), "fullwidth_in_body", "low", "id", "char"),
+            "tokenizer_fallback_summary": lambda: plain(fallback(), "tokenizer_fallback_summary", "medium", "said", "said"),
+            "metrics_stale": lambda: plain(stale(), "metrics_stale", "medium", "id", "gap_hours"),
+        })
+
+    def _findings(self, found: dict[str, Callable[[], DataFrame]]) -> DataFrame:
+        """All rules' findings, each worked out by itself; what a rule fails with is in `failures`, and the others count."""
+        self.failures: dict[str, str] = {}
+        union = self.spark.createDataFrame([], "rule_id string, severity string, target_id string, message string")
+        for name, rule in found.items():
+            try:
+                union = union.unionByName(graph.cut(rule()))
+            except Exception as e:  # any failure stays this rule's
+                self.failures[name] = f"{type(e).__name__}: {e}"
         paths = self.entries().select(F.col("id").alias("target_id"), F.col("file_path").alias("target_path"))
         return union.join(paths, "target_id", "left").select("rule_id", "severity", "target_id", "target_path", "message")
 
+    # --- dense index
+    def dense_store(self) -> DataFrame:
+        return self.tables.read("dense", dense.STORE_SCHEMA)
+
+    def rebuild_dense(self, embedder: dense.Embedder = dense.hashed, only_stale: bool = True) -> DataFrame:
+        """Embed stale (or all) active entries; gives what failed."""
+        store, failures = dense.rebuilt(self.entries(), self.dense_store(), None, only_stale, embedder)
+        self.tables.write("dense", store)
+        return failures
+
+    def search_dense(self, query: str, limit: int = 20, embedder: dense.Embedder | None = dense.hashed) -> DataFrame:
+        """(id, score) by vectors; empty where there is no embedder or no vector, or where the embedder fails."""
+        none = self.spark.createDataFrame([], "id string, score double")
+        if embedder is None or not dense.enabled(self.dense_store(), embedder):
+            return none
+        try:
+            found = dense.dense_hits(self.dense_store(), query, limit, embedder)
+        except Exception as e:  # search goes on without its vector route
+            self.failures = {"dense": f"{type(e).__name__}: {e}"}
+            return none
+        return found.join(self.entries().where("status <> 'archived'").select("id"), "id", "left_semi")
+
+    def recompute_neighbours(self, entry_id: str) -> int:
+        """Metrics of an entry and its neighbours anew; the others' stay. Gives how many."""
+        touched = graph.cut(lists.affected(self.spark.createDataFrame([(entry_id,)], "id string"), self.relations(), self.relations()))
+        fresh = metrics.entry_metrics(self.entries(), self.relations(), self.access_log(), self.today.isoformat()).withColumnRenamed("id", "entry_id")
+        held = self.metrics()
+        old = held.select("entry_id", "authority_score")
+        rows = fresh.join(old, "entry_id", "left").withColumn("authority_score", F.coalesce("authority_score", F.lit(0.0)))
+        rows = rows.withColumn("updated_at", F.lit(datetime.now(UTC).replace(tzinfo=None)).cast("timestamp")).select(*held.columns)
+        self.tables.write("metrics", lists.refreshed(rows, held, touched))
+        return touched.count()
+
     # --- queue
     def enqueue(self, findings: DataFrame, origin: str = "diagnose", agent_id: str | None = None) -> None:
         """Queue findings that are not low; a pending one of the same rule and entry is kept, with the new message."""
         now = F.lit(datetime.now(UTC).replace(tzinfo=None)).cast("timestamp")
         channel = F.coalesce(*[F.when(F.col("severity") == k, v) for k, v in CHANNELS.items()])
         new = findings.where("severity <> 'low'").select(
-            F.concat(F.lit("mq_"), F.substring(F.sha2(F.concat_ws("|", "rule_id", "target_id", F.lit(origin)), 256), 1, 26)).alias("id"), "rule_id", "severity", F.col("target_id").alias("entry_id"), channel.alias("channel"), F.lit("pending").alias("status"),
+            F.concat(F.lit("mq_"), F.substring(F.sha2(F.concat_ws("|", "rule_id", "target_id", F.lit(origin), F.lit(ulid())), 256), 1, 26)).alias("id"), "rule_id", "severity", F.col("target_id").alias("entry_id"), channel.alias("channel"), F.lit("pending").alias("status"),
             "message", F.to_json(F.struct("message")).alias("details_json"), F.lit(origin).alias("origin"), F.lit(None).cast("string").alias("proposed_op"), F.lit(None).cast("string").alias("proposed_payload_json"), F.lit(agent_id).cast("string").alias("agent_id"), now.alias("created_at"), now.alias("updated_at"),
         )
         new = new.dropDuplicates(["id"])
-        old = self.queue().select("id", F.col("created_at").alias("first"), F.col("status").alias("was"))
-        merged = new.join(old, "id", "left").withColumn("created_at", F.coalesce("first", "created_at")).where("was is null or was = 'pending'").drop("first", "was")
+        old = self.queue().where("status = 'pending'").select("rule_id", "entry_id", "origin", F.col("id").alias("held"), F.col("created_at").alias("first"))
+        old = old.groupBy("rule_id", "entry_id", "origin").agg(F.min("held").alias("held"), F.min("first").alias("first"))
+        merged = new.join(old, ["rule_id", "entry_id", "origin"], "left")
+        merged = merged.withColumn("id", F.coalesce("held", "id")).withColumn("created_at", F.coalesce("first", "created_at")).drop("held", "first")
         self.tables.merge("queue", QUEUE_SCHEMA, merged, ["id"])
 
     def transition(self, queue_id: str, status: str) -> None:

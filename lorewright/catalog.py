@@ -8,6 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorewright import more_queries
 from lorewright.functions import text
 from lorewright.model import CHAIN
 from lorewright.operators import analytics, filters, graph, metrics, rules, search
@@ -61,11 +62,11 @@ _add(
 )
 _add("entry_listing", lambda t: t.entries.select("id", "kind", "slug"), "entries", "SELECT id, kind, slug FROM entries")
 _add("all_tags", lambda t: t.entries.select(F.explode("tags").alias("tag")).where("tag is not null").distinct(), "entries", "SELECT DISTINCT tag FROM (SELECT unnest(tags) AS tag FROM entries) WHERE tag IS NOT NULL")
-_add("duplicate_ids", lambda t: t.entries.select(F.col("title").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "entries", "SELECT title AS key, count(*) AS n FROM entries GROUP BY 1 HAVING count(*) > 1")
+_add("duplicate_ids", lambda t: t.entries.select(F.concat(F.lit("x"), (F.col("n") % 97).cast("string")).alias("id")).groupBy("id").agg(F.count("*").alias("n")).where("n > 1"), "entries", "SELECT 'x' || n % 97 AS id, count(*) AS n FROM entries GROUP BY 1 HAVING count(*) > 1")
 _add("filter_attributes", lambda t: filters.matching(t.entries, {"kind": "concept", "status": "active"}).select("id"), "entries", "SELECT id FROM entries WHERE kind = 'concept' AND status = 'active'")
 _add("filter_tags_superset", lambda t: filters.matching(t.entries, {"tags": ["en", "src0"]}).select("id"), "entries", "SELECT id FROM entries WHERE list_has_all(tags, ['en', 'src0'])")
 _add("filter_unknown_key", lambda t: filters.matching(t.entries, {"colour": "red"}).select("id"), "entries", "SELECT id FROM entries WHERE FALSE")
-_add("filter_expression_language", lambda t: filters.expression(t.entries, "kind = 'concept' AND status != 'archived' AND freshness <> 'stable'", ("kind", "status", "freshness")).select("id"), "entries", "SELECT id FROM entries WHERE kind = 'concept' AND status <> 'archived' AND freshness <> 'stable'")
+_add("filter_expression_language", lambda t: filters.expression(t.entries, "kind = 'note' AND status != 'archived' AND freshness <> 'stable'", ("kind", "status", "freshness")).select("id"), "entries", "SELECT id FROM entries WHERE kind = 'note' AND status <> 'archived' AND freshness <> 'stable'")
 _add("active_only", lambda t: t.entries.where("status <> 'archived'").select("id"), "entries", "SELECT id FROM entries WHERE status <> 'archived'")
 _add("sources_by_target", lambda t: t.entries.where("kind = 'source' and watch_target = 'owner/repo3'").select("id"), "entries", "SELECT id FROM entries WHERE kind = 'source' AND watch_target = 'owner/repo3'")
 _add("source_url_invalid", lambda t: filters.invalid_urls(t.entries).select("id", "source_url"), "entries", "SELECT id, source_url FROM entries WHERE kind = 'source' AND NOT regexp_matches(source_url, '^(https?|knowledge)://')")
@@ -86,7 +87,7 @@ _add("queue_list_filtered", lambda t: filters.queue_list(t.queue, status="pendin
 _add("queue_group_by_origin", lambda t: t.queue.groupBy("origin").agg(F.count("*").alias("n"), F.count(F.when(F.col("created_at") > F.lit("2024-01-20").cast("timestamp"), 1)).alias("new_count")), "queue", "SELECT origin, count(*) AS n, count(*) FILTER (created_at > TIMESTAMP '2024-01-20') AS new_count FROM queue GROUP BY 1")
 _add("guardrail_daily_json_count", lambda t: filters.guardrail(t.queue), "queue", "SELECT agent_id, CAST(created_at AS DATE) AS day, json_extract_string(details_json, '$.k') AS source_id, count(*) AS n, count(*) < 10 AS allowed FROM queue GROUP BY 1, 2, 3")
 _add("access_log_replay", lambda t: t.access.join(t.entries.select(F.col("id").alias("entry_id")), "entry_id", "left_semi").groupBy("entry_id", "op").agg(F.count("*").alias("n")), "entries access_log", "SELECT entry_id, op, count(*) AS n FROM access_log WHERE entry_id IN (SELECT id FROM entries) GROUP BY 1, 2")
-_add("status_event_counts", lambda t: t.queue.groupBy("entry_id", "status").agg(F.count("*").alias("n")).where("n = 1").select("entry_id", "status"), "queue", "SELECT entry_id, status FROM queue GROUP BY 1, 2 HAVING count(*) = 1")
+_add("status_event_counts", lambda t: t.queue.groupBy("entry_id", "status").agg(F.count("*").alias("n")), "queue", "SELECT entry_id, status, count(*) AS n FROM queue GROUP BY 1, 2")
 
 # --- joins over relations
 _add("edge_list", lambda t: t.edges, "edges", "SELECT source_id, target_id, type, origin FROM edges")
@@ -151,7 +152,7 @@ _add("isolated", lambda t: graph.isolated(t.entries, t.edges.where("type = 'supe
 _add("supersedes_cycle", lambda t: graph.cycle_members(t.edges), "edges", ", arcs AS (SELECT DISTINCT source_id AS a, target_id AS b FROM edges WHERE type = 'supersedes' AND source_id <> target_id), paths AS (SELECT a, b FROM arcs UNION SELECT p.a, q.b FROM paths p JOIN arcs q ON p.b = q.a) SELECT DISTINCT a AS id FROM paths WHERE a = b")
 _DEG = "deg AS (SELECT id FROM (SELECT source_id AS id FROM edges UNION ALL SELECT target_id FROM edges) GROUP BY 1 HAVING count(*) >= 6 AND id IN (SELECT id FROM entries))"
 _add("dense_core", lambda t: graph.dense_core(t.entries, t.edges, 6), "entries edges", f", {_DEG} SELECT source_id, target_id, type FROM edges WHERE source_id IN (SELECT id FROM deg) AND target_id IN (SELECT id FROM deg)")
-_add("domain_subgraph", lambda t: graph.domain_subgraph(t.entries, t.edges, "src0"), "entries edges", "SELECT source_id, target_id, type FROM edges WHERE source_id IN (SELECT id FROM entries WHERE domain = 'src0') AND target_id IN (SELECT id FROM entries WHERE domain = 'src0')")
+_add("domain_subgraph", lambda t: graph.domain_subgraph(t.entries.withColumn("domain", F.get("tags", 0)), t.edges, "en"), "entries edges", "SELECT source_id, target_id, type FROM edges WHERE source_id IN (SELECT id FROM entries WHERE tags[1] = 'en') AND target_id IN (SELECT id FROM entries WHERE tags[1] = 'en')")
 
 # --- metrics
 _add("evidence_strength", lambda t: _round(metrics.evidence(t.entries, t.edges, AS_OF), "evidence_strength").select("id", "sources", "diversity", "evidence_strength"), "entries edges", f", {_FACTS} SELECT id, sources, diversity, round(evidence_strength, 6) AS evidence_strength FROM facts")
@@ -211,10 +212,7 @@ _add("content_hash", lambda t: t.entries.select("id", text.content_hash(F.col("t
 _add("freshness_decay", lambda t: _round(t.entries.select("id", metrics.freshness_score(F.col("captured_at"), AS_OF).alias("score")), "score"), "entries", f"SELECT id, round(CASE WHEN captured_at IS NULL OR captured_at > DATE '{AS_OF}' THEN 0.5 ELSE pow(0.5, date_diff('day', captured_at, DATE '{AS_OF}') / 365.0) END, 6) AS score FROM entries")
 _add("review_due_at", lambda t: t.entries.where("kind = 'dossier'").select("id", filters.review_date(F.col("reviewed_at"), F.col("freshness")).alias("due")), "entries", "SELECT id, review_due_at AS due FROM entries WHERE kind = 'dossier'")
 _add("trigrams", lambda t: t.entries.select("id", F.explode(text.trigrams(F.col("title"))).alias("gram")), "entries", "SELECT id, unnest(CASE WHEN length(title) = 0 THEN [] WHEN length(title) <= 3 THEN [title] ELSE [substring(title, i, 3) FOR i IN range(1, length(title) - 1)] END) AS gram FROM entries")
-_add("nfc_residual", lambda t: t.entries.where(text.has_nfd_residual(F.col("title"))).select("id"), "entries", "SELECT id FROM entries WHERE title <> nfc_normalize(title)")
-_add("fullwidth_scan", lambda t: t.entries.where(F.col("body").rlike("[\\x{3000}\\x{FF01}-\\x{FF5E}]")).select("id"), "entries", "SELECT id FROM entries WHERE regexp_matches(body, '[\\x{3000}\\x{FF01}-\\x{FF5E}]')")
 _add("summary_line", lambda t: t.entries.select("id", analytics.summary_line(F.col("body")).alias("line")), "entries")
-_add("embed_text", lambda t: t.entries.select("id", F.length(F.concat_ws("\n", F.nullif("title", F.lit("")), F.array_join("tags", " "), F.array_join("aliases", " "), F.array_join("search_terms", " "), F.substring("body", 1, 2000))).alias("n")), "entries", "SELECT id, length(concat_ws(chr(10), nullif(title, ''), array_to_string(tags, ' '), array_to_string(aliases, ' '), array_to_string(search_terms, ' '), left(body, 2000))) AS n FROM entries")
 
 # --- retrieval
 _add("exact_match", lambda t: search.exact(t.entries, "The", True), "entries", "SELECT id, CASE WHEN list_contains(aliases, 'the') THEN 90.0 WHEN lower(title) = 'the' THEN 80.0 WHEN list_contains(search_terms, 'the') THEN 75.0 WHEN instr(lower(title), 'the') > 0 THEN 55.0 END AS score FROM entries WHERE list_contains(aliases, 'the') OR lower(title) = 'the' OR list_contains(search_terms, 'the') OR instr(lower(title), 'the') > 0")
@@ -242,7 +240,6 @@ _ROUTES = f"""{_AUTHORITY}, hit AS (SELECT id FROM entries WHERE list_contains(s
 word AS (SELECT id FROM entries WHERE contains(lower(body), 'the') OR contains(lower(title), 'the')),
 near AS (SELECT DISTINCT x.id FROM (SELECT source_id AS seed, target_id AS id FROM edges UNION ALL SELECT target_id, source_id FROM edges) x JOIN hit ON hit.id = seed JOIN entries e ON e.id = x.id AND e.status <> 'archived' WHERE x.id NOT IN (SELECT id FROM hit)),
 routes AS (SELECT 'exact' AS route, row_number() OVER (ORDER BY id) AS place, id FROM hit UNION ALL SELECT 'word', row_number() OVER (ORDER BY id), id FROM word UNION ALL SELECT 'graph', row_number() OVER (ORDER BY authority DESC NULLS LAST, near.id), near.id FROM near LEFT JOIN authority ON authority.id = near.id)"""
-_add("rrf_fusion", lambda t: search.rrf(search.rrf_routes(t.entries, t.edges, t.authority, "the")).select("id", F.round("score", 9).alias("score")), "entries edges", f", {_ROUTES} SELECT id, round(sum(1.0::DOUBLE / (60 + place)), 9) AS score FROM routes WHERE place <= 50 GROUP BY 1")
 _add("snippet", lambda t: t.entries.select("id", text.snippet(F.col("title"), F.col("body"), ["tion", "und"]).alias("snippet")), "entries", "SELECT id, trim(CASE WHEN instr(lower(b), 'tion') > 0 THEN substring(b, greatest(instr(lower(b), 'tion') - 24, 1), instr(lower(b), 'tion') + 40 - greatest(instr(lower(b), 'tion') - 24, 1)) WHEN instr(lower(b), 'und') > 0 THEN substring(b, greatest(instr(lower(b), 'und') - 24, 1), instr(lower(b), 'und') + 39 - greatest(instr(lower(b), 'und') - 24, 1)) ELSE left(b, 96) END) AS snippet FROM (SELECT id, coalesce(nullif(body, ''), title) AS b FROM entries)")
 _add("search_fused", lambda t: search.search(t.entries, t.edges, t.authority, "the tion", limit=20).select("id", F.round("score", 6).alias("score"), "snippet"))
 
@@ -282,10 +279,9 @@ _add("derive_counts", lambda t: t.edges.where("type = 'derived_from'").select(F.
 _add("confidence_values", lambda t: t.entries.select("id", analytics.confidence_value(F.col("confidence")).alias("value")), "entries", "SELECT id, CASE confidence WHEN 'high' THEN 0.85 WHEN 'medium' THEN 0.5 WHEN 'low' THEN 0.25 ELSE 0.15 END AS value FROM entries")
 _add("authority_scales", lambda t: _round(t.authority.select("id", *analytics.authority_scales(F.col("authority"))), "size", "percent", "norm"), "entries", f", {_AUTHORITY} SELECT id, round(8 + 10 * sqrt(authority), 6) AS size, greatest(round(authority * 100), 3) AS percent, round(authority, 6) AS norm FROM authority")
 _add("dashboard_verdicts", lambda t: analytics.verdicts(t.entries), "entries", ", f AS (SELECT avg(CASE WHEN status IN ('active', 'authoritative') THEN 1.0 ELSE 0 END) AS m, avg(CASE WHEN freshness = 'volatile' THEN 1.0 ELSE 0 END) AS v, count(*) AS total FROM entries), top AS (SELECT kind, count(*) AS n FROM entries GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1) SELECT CASE WHEN n >= 0.5 * total THEN kind END AS dominant, CASE WHEN m >= 0.7 THEN 'mature' WHEN m >= 0.4 THEN 'growing' ELSE 'young' END AS maturity, CASE WHEN v <= 0.2 THEN 'calm' WHEN v <= 0.6 THEN 'mixed' ELSE 'restless' END AS freshness FROM f, top")
-_add("orphan_domains", lambda t: analytics.orphan_domains(t.entries, t.edges.where("type = 'supersedes'")), "entries edges", ", x AS (SELECT a.domain AS p, b.domain AS q FROM edges JOIN entries a ON a.id = source_id JOIN entries b ON b.id = target_id WHERE type = 'supersedes' AND a.domain <> '' AND b.domain <> '' AND a.domain <> b.domain) SELECT DISTINCT domain FROM entries WHERE domain <> '' AND domain NOT IN (SELECT p FROM x UNION SELECT q FROM x)")
+_add("orphan_domains", lambda t: analytics.orphan_domains(t.entries, t.edges.where("type = 'superseded_by'")), "entries edges", ", x AS (SELECT a.domain AS p, b.domain AS q FROM edges JOIN entries a ON a.id = source_id JOIN entries b ON b.id = target_id WHERE type = 'superseded_by' AND a.domain <> '' AND b.domain <> '' AND a.domain <> b.domain) SELECT DISTINCT domain FROM entries WHERE domain <> '' AND domain NOT IN (SELECT p FROM x UNION SELECT q FROM x)")
 _add("backlinks", lambda t: analytics.backlinks(t.edges), "edges", "SELECT target_id AS id, type, count(*) AS n FROM edges GROUP BY 1, 2")
 _add("promotion_chain_links", lambda t: analytics.chain_links(t.entries, t.edges, CHAIN), "entries edges", ", p AS (SELECT id, CASE kind WHEN 'note' THEN 1 WHEN 'concept' THEN 2 WHEN 'decision' THEN 3 WHEN 'dossier' THEN 4 END AS p FROM entries) SELECT source_id, target_id, a.p AS from_place, b.p AS to_place FROM edges JOIN p a ON a.id = source_id JOIN p b ON b.id = target_id WHERE type = 'derived_from' AND a.p IS NOT NULL AND b.p IS NOT NULL")
-_add("alias_overlap", lambda t: rules.alias_overlap(t.entries), "entries", ", h AS (SELECT id, unnest(aliases) AS alias FROM entries WHERE status <> 'archived'), f AS (SELECT alias, min(id) AS left_id FROM h GROUP BY 1) SELECT left_id, id AS right_id, count(*) AS shared FROM h JOIN f USING (alias) WHERE left_id < id GROUP BY 1, 2")
 _add("alias_holders", lambda t: rules.alias_holders(t.entries), "entries", ", h AS (SELECT DISTINCT id, unnest(aliases) AS alias FROM entries WHERE status <> 'archived'), f AS (SELECT alias, min(id) AS representative FROM h GROUP BY 1 HAVING count(*) > 1) SELECT alias, representative, id AS member FROM h JOIN f USING (alias)")
 _add("semantic_candidates", lambda t: _round(rules.semantic_candidates(t.read("embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("kind"), "embedding"), t.read("embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("id")), 0.1), "similarity"), "", f"WITH {_VECTORS} SELECT id, candidate, round(s, 6) AS similarity FROM (SELECT a.vec_id AS id, b.vec_id AS candidate, list_cosine_similarity(a.e, b.e) AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.e, b.e) DESC, b.vec_id) AS place FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.vec_id % 20 = 0 WHERE list_cosine_similarity(a.e, b.e) >= 0.1) WHERE place <= 10")
 _rule("missing_relation_hint", "medium", lambda t: rules.missing_relation_hint(t.entries, t.edges, most=50), _EV, "own AS (SELECT id, unnest(search_terms) AS term, tags FROM entries WHERE kind <> 'source' AND status <> 'archived'), c AS (SELECT term FROM own GROUP BY 1 HAVING count(*) BETWEEN 2 AND 50), pairs AS (SELECT DISTINCT a.id, b.id AS other FROM own a JOIN c USING (term) JOIN own b USING (term) WHERE a.id <> b.id AND list_has_any(a.tags, b.tags))", "SELECT id, count(*) AS n FROM pairs WHERE (id, other) NOT IN (SELECT source_id, target_id FROM edges UNION SELECT target_id, source_id FROM edges) GROUP BY 1 HAVING count(*) >= 2", "CAST(x.n AS VARCHAR)")
@@ -310,6 +306,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _QUERIES["search_fused"].run(Tables(spark, sf_dir))
 
 
+more_queries.register(_add, _round)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, sf_dir, q=q: q.run(Tables(spark, sf_dir))) for name, q in _QUERIES.items()}
 

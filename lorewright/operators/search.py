@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorewright.functions.text import ascii_lower, cosine, snippet
+from lorewright.operators import filters
 from lorewright.operators.query import expand_mixed, parse_query, symbol_variants
 from lorewright.plans.lineage import cut
 
@@ -139,11 +140,11 @@ def fused(entries: DataFrame, index: DataFrame, query: str, limit: int, sizes: D
     return sums.select("id", F.when(F.col("hits") < len(segments), F.col("score") * PARTIAL).otherwise(F.col("score")).alias("score"))
 
 
-def search(entries: DataFrame, edges: DataFrame, authority: DataFrame, query: str, kinds: list[str] | None = None, limit: int = 20, graph: bool = True, archived: bool = False, index: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
+def search(entries: DataFrame, edges: DataFrame, authority: DataFrame, query: str, kinds: list[str] | None = None, limit: int = 20, graph: bool = True, archived: bool = False, index: DataFrame | None = None, sizes: DataFrame | None = None, where: dict[str, object] | None = None) -> DataFrame:
     """(id, score, snippet), best first: exact id and term matches, fused BM25 and graph expansion, boosted by authority.
 
     index and sizes are the postings and lengths where these are kept as tables; else they are built for this query.
-    Candidates are max(5 * limit, 20) of each index; kind and status filters apply to them afterwards, so fewer than limit
+    Candidates are max(5 * limit, 20) of each index; kind, status and attribute filters apply to them afterwards, before the cut, so fewer than limit
     rows may come back."""
     index = cut(postings(entries)) if index is None else index
     sizes = cut(lengths(index)) if sizes is None else sizes
@@ -154,7 +155,7 @@ def search(entries: DataFrame, edges: DataFrame, authority: DataFrame, query: st
     keep = entries.where(F.lit(archived) | (F.col("status") != "archived"))
     if kinds:
         keep = keep.where(F.col("kind").isin(*kinds))
-    found = found.join(keep.select("id"), "id", "left_semi")
+    found = found.join(filters.matching(keep, where or {}).select("id"), "id", "left_semi")
     ranked = boost(found, authority).orderBy(F.desc("score"), "id").limit(limit)
     needles = [s.text for s in parse_query(query)]
     return ranked.join(entries.select("id", snippet(F.col("title"), F.col("body"), needles).alias("snippet")), "id").orderBy(F.desc("score"), "id")
@@ -163,14 +164,3 @@ def search(entries: DataFrame, edges: DataFrame, authority: DataFrame, query: st
 def idf(total: int, holding: int) -> float:
     """The term weight that bm25 uses."""
     return max(math.log((total - holding + 0.5) / (holding + 0.5)), 0.0) or 1e-6
-
-
-def rrf_routes(entries: DataFrame, edges: DataFrame, authority: DataFrame, term: str) -> DataFrame:
-    """(route, place, id): exact and word matches in id order, neighbours by authority."""
-    low = term.lower()
-    held = entries.select("id", F.lower("title").alias("title"), F.lower(F.coalesce("body", F.lit(""))).alias("body"), "search_terms")
-    hit = held.where(F.array_contains("search_terms", low)).select("id")
-    word = held.where(F.col("body").contains(low) | F.col("title").contains(low)).select("id")
-    near = expand(edges, entries, hit.withColumn("score", F.lit(1.0))).select("id").join(authority, "id", "left")
-    place = lambda df, route, *order: df.select(F.lit(route).alias("route"), F.row_number().over(Window.partitionBy(F.lit(route)).orderBy(*order)).alias("place"), "id").where("place <= 50")
-    return place(hit, "exact", "id").unionAll(place(word, "word", "id")).unionAll(place(near, "graph", F.desc_nulls_last("authority"), "id"))
