@@ -111,12 +111,7 @@ for _direction, _sql in (("out", "SELECT source_id AS id, target_id AS neighbor
 _add("out_refs", lambda t: t.edges.where(F.col("type").isin("source_refs", "evidence_refs")).select("source_id", "target_id").distinct(), "edges", "SELECT DISTINCT source_id, target_id FROM edges WHERE type IN ('source_refs', 'evidence_refs')")
 _NEAR = "near AS (SELECT DISTINCT x.id, x.neighbor FROM (SELECT source_id AS id, target_id AS neighbor FROM edges UNION ALL SELECT target_id, source_id FROM edges) x JOIN entries e ON e.id = x.neighbor AND e.status <> 'archived')"
 _add(
-    "related_depth_2", lambda t: graph.related(t.edges, t.entries, t.entries.where("n % 50 = 0").select("id"), 2), "entries edges",
-    f", {_NEAR}, seeds AS (SELECT id FROM entries WHERE n % 50 = 0), one AS (SELECT DISTINCT s.id AS seed, neighbor AS id FROM seeds s JOIN near USING (id) WHERE neighbor <> s.id), two AS (SELECT DISTINCT seed, neighbor AS id FROM one JOIN near USING (id)) SELECT seed, id, 1 AS layer FROM one UNION ALL SELECT seed, id, 2 FROM two WHERE id <> seed AND (seed, id) NOT IN (SELECT seed, id FROM one)",
-)
-#: The same from every entry.
-_add(
-    "related_depth_2_all", lambda t: graph.related(t.edges, t.entries, t.entries.select("id"), 2), "entries edges",
+    "related_depth_2", lambda t: graph.related(t.edges, t.entries, t.entries.select("id"), 2), "entries edges",
     f", {_NEAR}, one AS (SELECT DISTINCT s.id AS seed, neighbor AS id FROM entries s JOIN near USING (id) WHERE neighbor <> s.id), two AS (SELECT DISTINCT seed, neighbor AS id FROM one JOIN near USING (id)) SELECT seed, id, 1 AS layer FROM one UNION ALL SELECT seed, id, 2 FROM two WHERE id <> seed AND (seed, id) NOT IN (SELECT seed, id FROM one)",
 )
 _REACH = """step AS (SELECT DISTINCT source_id AS node, target_id AS next FROM edges JOIN entries e ON e.id = target_id WHERE type IN ('source_refs', 'evidence_refs', 'derived_from')),
@@ -234,8 +229,7 @@ _add("bm25_en", lambda t: _bm25(t, ["the", "of"]).select("id", F.round("score",
 _add("trigram_substring", lambda t: search.substring_hits(t.entries, "tion"), "entries", f", {_FIELDS} SELECT id, sum((length(lower(t)) - length(replace(lower(t), 'tion', ''))) / 4.0) AS score FROM fields WHERE contains(lower(t), 'tion') GROUP BY 1")
 _SEEDS = "seeds AS (SELECT id, (n % 5 + 1)::DOUBLE AS score FROM entries WHERE n % 20 = 0)"
 _add("graph_expand", lambda t: search.expand(t.edges, t.entries, t.entries.where("n % 20 = 0").select("id", (F.col("n") % 5 + 1).cast("double").alias("score"))), "entries edges", f", {_SEEDS} SELECT x.id, max(score) * 0.5 AS score FROM (SELECT source_id AS seed, target_id AS id FROM edges UNION ALL SELECT target_id, source_id FROM edges) x JOIN seeds s ON s.id = seed JOIN entries e ON e.id = x.id AND e.status <> 'archived' WHERE x.id NOT IN (SELECT id FROM seeds) GROUP BY 1")
-_add("authority_boost", lambda t: _round(search.boost(t.entries.where("n % 20 = 0").select("id", (F.col("n") % 5 + 1).cast("double").alias("score")), t.authority), "score"), "entries", f", {_SEEDS}, {_AUTHORITY} SELECT id, round(score * (1 + 0.3 * authority / (SELECT max(authority) FROM seeds JOIN authority USING (id))), 6) AS score FROM seeds JOIN authority USING (id)")
-_add("authority_boost_all", lambda t: _round(search.boost(t.entries.select("id", (F.col("n") % 5 + 1).cast("double").alias("score")), t.authority), "score"), "entries", f", {_AUTHORITY} SELECT id, round((n % 5 + 1)::DOUBLE * (1 + 0.3 * authority / (SELECT max(authority) FROM authority)), 6) AS score FROM entries JOIN authority USING (id)")
+_add("authority_boost", lambda t: _round(search.boost(t.entries.select("id", (F.col("n") % 5 + 1).cast("double").alias("score")), t.authority), "score"), "entries", f", every AS (SELECT id, (n % 5 + 1)::DOUBLE AS score FROM entries), {_AUTHORITY} SELECT id, round(score * (1 + 0.3 * authority / (SELECT max(authority) FROM authority)), 6) AS score FROM every JOIN authority USING (id)")
 _ROUTES = f"""{_AUTHORITY}, hit AS (SELECT id FROM entries WHERE list_contains(search_terms, 'the')),
 word AS (SELECT id FROM entries WHERE contains(lower(body), 'the') OR contains(lower(title), 'the')),
 near AS (SELECT DISTINCT x.id FROM (SELECT source_id AS seed, target_id AS id FROM edges UNION ALL SELECT target_id, source_id FROM edges) x JOIN hit ON hit.id = seed JOIN entries e ON e.id = x.id AND e.status <> 'archived' WHERE x.id NOT IN (SELECT id FROM hit)),
@@ -286,7 +280,7 @@ _add("alias_holders", lambda t: rules.alias_holders(t.entries), "entries", ", h
 _add("semantic_candidates", lambda t: _round(rules.semantic_candidates(t.read("embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("kind"), "embedding"), t.read("embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("id")), 0.1), "similarity"), "", f"WITH {_VECTORS} SELECT id, candidate, round(s, 6) AS similarity FROM (SELECT a.vec_id AS id, b.vec_id AS candidate, list_cosine_similarity(a.e, b.e) AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.e, b.e) DESC, b.vec_id) AS place FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.vec_id % 20 = 0 WHERE list_cosine_similarity(a.e, b.e) >= 0.1) WHERE place <= 10")
 _rule("missing_relation_hint", "medium", lambda t: rules.missing_relation_hint(t.entries, t.edges, most=50), _EV, "own AS (SELECT id, unnest(search_terms) AS term, tags FROM entries WHERE kind <> 'source' AND status <> 'archived'), c AS (SELECT term FROM own GROUP BY 1 HAVING count(*) BETWEEN 2 AND 50), pairs AS (SELECT DISTINCT a.id, b.id AS other FROM own a JOIN c USING (term) JOIN own b USING (term) WHERE a.id <> b.id AND list_has_any(a.tags, b.tags))", "SELECT id, count(*) AS n FROM pairs WHERE (id, other) NOT IN (SELECT source_id, target_id FROM edges UNION SELECT target_id, source_id FROM edges) GROUP BY 1 HAVING count(*) >= 2", "CAST(x.n AS VARCHAR)")
 #: Terms of any number of holders; the SQL above leaves out those of more than 50.
-_add("rule_missing_relation_hint_all", lambda t: rules.missing_relation_hint(t.entries, t.edges), _EV)
+_add("rule_missing_relation_hint", lambda t: rules.missing_relation_hint(t.entries, t.edges), _EV)
 
 # --- retrieval quality
 _RESULTS = "results AS (SELECT label AS query, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) AS INTEGER) AS place, vec_id AS id FROM embeddings), grades AS (SELECT label AS query, vec_id AS id, CAST(vec_id % 4 AS INTEGER) AS grade FROM embeddings WHERE vec_id % 3 = 0)"

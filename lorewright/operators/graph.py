@@ -92,6 +92,8 @@ def cycle_members(edges: DataFrame, rel_type: str = "supersedes", rounds: int =
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"cycles did not settle in {rounds} rounds")
     return paths.where("a = b").select(F.col("a").alias("id")).distinct()
 
 
