@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorewright.llm.kernel import NON_ALNUM, buffers, slices, words
-from lorewright.llm.shared import crc_of_id, fresh, labelled_sample
+from lorewright.llm.shared import crc_of_id, drop, fresh, labelled_sample, written
 
 BITS, PREFIXES = 20, (4, 5, 6)
 #: The bound of the labelled sample, and of distinct counterfactual differences (the most frequent count).
@@ -252,10 +252,11 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, per_class: int = PER
                 yield _record(rows)
             yield _record([(1, None, None, a, b, n) for (a, b), n in pairs.items()])
 
-    found = sample.mapInArrow(seen, "kind int, doc_id long, label int, a binary, b binary, n long")
+    found = written(sample.mapInArrow(seen, "kind int, doc_id long, label int, a binary, b binary, n long"), "seen")  # read twice
     numbers = lambda data: kept[np.frombuffer(data, np.uint16)]
     texts = sorted(((r.doc_id, r.label, bytes(r.a)) for r in found.where("kind = 0").select("doc_id", "label", "a").collect()))
     pairs = found.where("kind = 1").groupBy("a", "b").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a", "b").limit(MOST_PAIRS).collect()
+    drop(found)
     return solve([numbers(a) for _, _, a in texts], np.array([y for _, y, _ in texts]), [(numbers(r.a), numbers(r.b)) for r in pairs], np.array([float(r.n) for r in pairs]), kept, strength)
 
 
