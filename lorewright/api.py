@@ -5,9 +5,11 @@ from __future__ import annotations
 
 import secrets
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from datetime import UTC, date, datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,18 +19,24 @@ from lorewright.model import ENTRY_SCHEMA, FINDING_SCHEMA, FRESHNESS, KINDS, LEA
 from lorewright.operators import analytics, checks, dense, filters, graph, lists, metrics, rules, search
 from lorewright.plans.shipping import ship
 from lorewright.sources import logs, markdown
+from lorewright.sources.files import FileChanges
 from lorewright.sources.snapshots import Snapshots
 
 ACCESS_SCHEMA = "entry_id string, op string, accessed_at timestamp"
 METRICS_SCHEMA = "entry_id string, evidence_strength double, drift_score double, compression_ratio long, action_relevance long, retrieval_heat double, authority_score double, updated_at timestamp"
 DOMAIN_SCHEMA = "domain string"
 WATCH_SCHEMA = "id string, source_type string, target string, cursor string, last_checked_at timestamp, consecutive_404_count int"
+POSTINGS_SCHEMA = "id string, field string, term string, tf long"
+SIZES_SCHEMA = "id string, length long"
 _SHORT = {"source": "src", "note": "note", "dossier": "dos", "concept": "con", "decision": "dec", "view": "view"}
 _CROCKFORD = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
 _FIXED = ("id", "kind", "file_path", "created_at")
 #: Promotions: from, to.
 PROMOTIONS = {("note", "concept"), ("note", "dossier"), ("dossier", "concept"), ("concept", "decision")}
 CHANNELS = {"high": "push", "medium": "digest", "warning": "log", "low": "log"}
+#: Mutations that `apply` takes, and the tables that they change.
+MUTATIONS = ("ingest", "update", "touch", "delete", "rename", "link", "unlink", "promote", "add_domain", "migrate_domain")
+_CHANGED = {"entries": ENTRY_SCHEMA, "domains": DOMAIN_SCHEMA, "unindexed": "id string"}
 POLICIES = ("strict", "merge_suggest", "allow")
 
 
@@ -44,6 +52,7 @@ class KnowledgeBase:
     def __init__(self, spark: SparkSession, root: str, today: date | None = None):
         self.spark, self.root, self.tables = spark, root, Snapshots(spark, f"{root}/.tables")
         self._today = today
+        self._batch: FileChanges | None = None
         ship(spark)
 
     # --- tables
@@ -77,8 +86,25 @@ class KnowledgeBase:
         if not twice.isEmpty():
             raise ConflictError("several files hold one id")
         self.tables.write("entries", good)
+        self.reindex()
         return bad
 
+    def reindex(self) -> None:
+        """Write the search index anew: postings in order of their terms, so that a query reads few row groups, and lengths."""
+        rows = search.postings(self.entries())
+        self.tables.write("postings", rows.repartitionByRange("term").sortWithinPartitions("term", "id"))
+        self.tables.write("sizes", search.lengths(self.tables.read("postings", POSTINGS_SCHEMA)))
+        self.tables.write("unindexed", self.spark.createDataFrame([], "id string"))
+
+    def index(self) -> tuple[DataFrame | None, DataFrame | None]:
+        """Postings and lengths: the kept ones, but for entries changed since, whose are worked out; None before a `reindex`."""
+        if self.tables.version("sizes") is None:
+            return None, None
+        changed = self.tables.read("unindexed", "id string")
+        fresh = search.postings(self.entries().join(changed, "id", "left_semi"))
+        kept = [self.tables.read(t, s).join(changed, "id", "left_anti") for t, s in (("postings", POSTINGS_SCHEMA), ("sizes", SIZES_SCHEMA))]
+        return kept[0].unionByName(fresh), kept[1].unionByName(search.lengths(fresh))
+
     def recompute(self) -> None:
         """All metrics and authority scores."""
         entries, edges = self.entries(), self.relations()
@@ -94,12 +120,12 @@ class KnowledgeBase:
             raise NotFoundError(entry_id)
         if log:
             now = datetime.now(UTC).replace(tzinfo=None)
-            self.tables.write("access_log", self.access_log().unionByName(self.spark.createDataFrame([(entry_id, "get", now)], ACCESS_SCHEMA)))
+            self.tables.append("access_log", self.spark.createDataFrame([(entry_id, "get", now)], ACCESS_SCHEMA))
         return row.asDict(recursive=True)
 
     def search(self, query: str, kinds: list[str] | None = None, where: dict[str, object] | None = None, limit: int = 20, graph_expansion: bool = True, archived: bool = False) -> DataFrame:
         authority = self.metrics().select(F.col("entry_id").alias("id"), F.col("authority_score").alias("authority"))
-        return search.search(self.entries(), self.relations(), authority, query, kinds, limit, graph_expansion, archived, where=where)
+        return search.search(self.entries(), self.relations(), authority, query, kinds, limit, graph_expansion, archived, *self.index(), where=where)
 
     def related(self, entry_id: str, depth: int = 1) -> DataFrame:
         return graph.related(self.relations(), self.entries(), self.entries().where(F.col("id") == entry_id).select("id"), depth).select("id", "layer")
@@ -192,8 +218,72 @@ class KnowledgeBase:
         known = {r.domain for r in self.tables.read("domains", DOMAIN_SCHEMA).where(F.col("domain").isin(*tags)).collect()} if tags else set()
         return next((t for t in tags if t in known), analytics.FALLBACK)
 
+    @contextmanager
+    def _changes(self) -> Iterator[FileChanges]:
+        """File changes that are taken back if the block fails; within `apply` the whole batch's."""
+        if self._batch is not None:
+            yield self._batch
+            return
+        changes = FileChanges(self.spark, self.root)
+        try:
+            yield changes
+        except BaseException:
+            changes.undo()
+            raise
+        changes.done()
+
+    def _unindex(self, ids: DataFrame) -> None:
+        """Before a change: a search works these entries' postings out anew, whether or not the change succeeds."""
+        if self.tables.version("sizes") is not None:
+            self.tables.merge("unindexed", "id string", ids.select("id").distinct(), ["id"])
+
+    def put(self, rows: DataFrame) -> None:
+        """Upsert entries: their files first, which `build` goes by, then the table. Entries whose path changed leave the old
+        file. Rows pass the driver one partition at a time, as files are renamed there."""
+        rows = graph.cut(rows.select(*self.entries().columns))
+        taken = rows.select(F.col("file_path").alias("old_path"), F.lit(True).alias("taken")).distinct()
+        before = self.entries().select("id", F.col("file_path").alias("old_path")).join(taken, "old_path", "left")
+        moved = rows.join(before, "id", "left").select(*rows.columns, "old_path", "taken")
+        with self._changes() as changes:
+            self._unindex(rows)
+            for row in moved.toLocalIterator():
+                entry = row.asDict(recursive=True)
+                old, taken_over = entry.pop("old_path"), entry.pop("taken")
+                if entry["file_path"]:
+                    changes.write(entry["file_path"], markdown.rendered(entry, entry["body"] or ""))
+                if old and not taken_over:
+                    changes.remove(old)
+            self.tables.merge("entries", ENTRY_SCHEMA, rows, ["id"])
+
     def _put(self, rows: list[dict]) -> None:
-        self.tables.merge("entries", ENTRY_SCHEMA, self._frame(rows), ["id"])
+        self.put(self._frame(rows))
+
+    def apply(self, operations: list[tuple[str, dict]]) -> list:
+        """Mutations as (name, arguments), all or none; entries are made before anything else happens. Gives the results in the
+        order asked. Where one fails, files and tables are as before, and its error is raised."""
+        unknown = sorted({name for name, _ in operations} - set(MUTATIONS))
+        if unknown:
+            raise ValidationError(f"mutations: {unknown}")
+        if self._batch is not None:
+            raise ConflictError("a batch is under way")
+        before = {t: self.tables.version(t) for t in _CHANGED}
+        results: dict[int, object] = {}
+        self._batch = FileChanges(self.spark, self.root)
+        try:
+            for n in sorted(range(len(operations)), key=lambda n: operations[n][0] != "ingest"):
+                name, arguments = operations[n]
+                results[n] = getattr(self, name)(**arguments)
+        except BaseException:
+            self._batch.undo()
+            for table, version in before.items():
+                if self.tables.version(table) != version:
+                    self.tables.restore(table, version) if version else self.tables.write(table, self.spark.createDataFrame([], _CHANGED[table]))
+            raise
+        else:
+            self._batch.done()
+        finally:
+            self._batch = None
+        return [results[n] for n in range(len(operations))]
 
     def update(self, entry_id: str, changes: dict) -> dict:
         if set(changes) & set(_FIXED):
@@ -214,8 +304,12 @@ class KnowledgeBase:
         return entry
 
     def delete(self, entry_id: str) -> None:
-        self.get(entry_id, log=False)
-        self.tables.delete("entries", ENTRY_SCHEMA, self.spark.createDataFrame([(entry_id,)], "id string"), ["id"])
+        path, gone = self.get(entry_id, log=False)["file_path"], self.spark.createDataFrame([(entry_id,)], "id string")
+        with self._changes() as changes:
+            self._unindex(gone)
+            if path:
+                changes.remove(path)
+            self.tables.delete("entries", ENTRY_SCHEMA, gone, ["id"])
 
     def rename(self, entry_id: str, slug: str) -> dict:
         """Change a stable slug; links to the old path in other bodies follow it."""
@@ -229,13 +323,13 @@ class KnowledgeBase:
             raise ConflictError(new)
         moved = {old: new}
 
-        @F.udf("string")
-        def rewritten(body: str, path: str) -> str:
-            return text.rewrite_links(body, path, path, moved)
+        @F.pandas_udf("string")
+        def rewritten(bodies: pd.Series, paths: pd.Series) -> pd.Series:
+            return pd.Series([b if b is None else text.rewrite_links(b, p, p, moved) for b, p in zip(bodies, paths, strict=True)])
 
         linked = self.entries().where((F.col("id") != entry_id) & F.col("body").contains(old.rsplit("/", 1)[1]))
         rows = linked.withColumn("body", rewritten("body", "file_path")).unionByName(self._frame([entry | {"slug": slug, "file_path": new, "updated_at": self.today}]))
-        self.tables.merge("entries", ENTRY_SCHEMA, rows, ["id"])
+        self.put(rows)
         return self.get(entry_id, log=False)
 
     def link(self, source_id: str, target_id: str, rel_type: str, origin: str = "confirmed") -> dict:
@@ -279,7 +373,7 @@ class KnowledgeBase:
         count = moved.count()
         rows = moved.withColumn("domain", F.lit(new)).withColumn("file_path", filters.path_of(F.col("kind"), F.col("domain"), F.col("slug"), F.col("created_at")))
         if count:
-            self.tables.merge("entries", ENTRY_SCHEMA, rows, ["id"])
+            self.put(rows)
         return count
 
     # --- rules

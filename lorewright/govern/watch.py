@@ -100,7 +100,7 @@ def _released(kb: KnowledgeBase, target: str, latest: dict, dossiers: list[str],
             made = None
     if made:
         older = kb.entries().where((F.col("kind") == "source") & (F.col("watch_target") == target) & (F.col("id") != made["id"])).where("superseded_by is null")
-        kb.tables.merge("entries", kb.entries_schema, older.withColumn("superseded_by", F.lit(made["id"])), ["id"])
+        kb.put(older.withColumn("superseded_by", F.lit(made["id"])))
     for dossier in dossiers:
         kb.touch(dossier)
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from lorewright.api import KnowledgeBase
 from lorewright.errors import ConflictError
 from lorewright.functions.text import fix_punctuation
-from lorewright.model import ENTRY_SCHEMA
 from lorewright.operators import filters, rules
 
 LOG_SCHEMA = "entry_id string, action string, status string, line long"
@@ -44,7 +43,7 @@ def archive(kb: KnowledgeBase, plan: DataFrame, signed: str, log: DataFrame | No
     met = rows.join(now.select("id", "now"), "id", "left").select("id", F.when(F.col("now") == F.col("digest"), "archived").when(F.col("now").isNull(), "missing").otherwise("changed").alias("outcome"))
     met = kb.spark.createDataFrame(met.collect(), "id string, outcome string")  # the plan's ids, whose number the caller stated
     changed = kb.entries().join(met.where("outcome = 'archived'").select("id"), "id", "left_semi").withColumn("status", F.lit("archived"))
-    kb.tables.merge("entries", ENTRY_SCHEMA, changed, ["id"])
+    kb.put(changed)
     return met
 
 
@@ -55,7 +54,7 @@ def restore(kb: KnowledgeBase, plan: DataFrame, done: DataFrame) -> int:
     if not rows.where("status <> 'archived'").isEmpty():
         raise ConflictError("an entry is not archived")
     n = rows.count()
-    kb.tables.merge("entries", ENTRY_SCHEMA, rows.withColumn("status", F.col("old")).drop("old"), ["id"])
+    kb.put(rows.withColumn("status", F.col("old")).drop("old"))
     return n
 
 
@@ -79,7 +78,7 @@ def clean_relations(kb: KnowledgeBase, expected: int) -> DataFrame:
     kept = F.filter("relations", lambda r: ~F.array_contains("gone", F.concat_ws("|", r["target"], r["type"])))
     left = kb.spark.createDataFrame(broken.where("origin = 'confirmed'").collect(), broken.schema)  # what people are to read
     if n:
-        kb.tables.merge("entries", ENTRY_SCHEMA, kb.entries().join(keys, "id").withColumn("relations", kept).drop("gone"), ["id"])
+        kb.put(kb.entries().join(keys, "id").withColumn("relations", kept).drop("gone"))
     return left
 
 

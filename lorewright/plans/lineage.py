@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df from a reliable checkpoint in spark.checkpoint.dir; where that is unset, in a folder of our own (tests)."""
+    """df from a reliable checkpoint in spark.checkpoint.dir. Where that is unset, local sessions (tests) get a folder of their
+    own; on a cluster it must be set, as a node's own disk is no shared folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lorewright-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="lorewright-"))
     return df.checkpoint(eager=True)

@@ -13,15 +13,22 @@ from pyspark.sql import types as T
 
 from lorewright.functions.text import PUNCTUATION
 from lorewright.model import ENTRY_SCHEMA, FRESHNESS, KINDS, STATUSES
+from lorewright.plans.lineage import cut
 
+DEEPEST = 4
 SPLIT = r"(?s)^---\n(.*?)---\n\n*(.*)$"
 
 
 def files(spark: SparkSession, root: str, roots: tuple[str, ...] = ("entries", "sources", "views")) -> DataFrame:
-    """(file_path, content) of every Markdown file below the roots, paths relative to root. A root that is missing is empty."""
+    """(file_path, content) of every Markdown file below the roots, paths relative to root. A root that is missing is empty.
+    Spark passes over folders whose names begin with an underscore, as the one for entries without a domain does; such folders,
+    up to DEEPEST below a root, are named to it."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     there = [f"{root}/{r}" for r in roots if (p := jvm.org.apache.hadoop.fs.Path(f"{root}/{r}")).getFileSystem(conf).exists(p)]
+    for pattern in [f"{r}{'/*' * depth}/_*" for r in there for depth in range(DEEPEST)]:
+        glob = jvm.org.apache.hadoop.fs.Path(pattern)
+        there += [s.getPath().toString() for s in glob.getFileSystem(conf).globStatus(glob) or [] if s.isDirectory()]
     if not there:
         return spark.createDataFrame([], "file_path string, content string")
     read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(there, wholetext=True)
@@ -74,7 +81,7 @@ def parsed(read: DataFrame) -> DataFrame:
 
 def entries(spark: SparkSession, root: str, strict_roots: bool = False) -> tuple[DataFrame, DataFrame]:
     """Good entries, and (file_path, error) of the others. strict_roots leaves views/ out."""
-    rows = parsed(files(spark, root, ("entries", "sources") if strict_roots else ("entries", "sources", "views")))
+    rows = cut(parsed(files(spark, root, ("entries", "sources") if strict_roots else ("entries", "sources", "views"))))
     return rows.where("error is null").drop("error"), rows.where("error is not null").select("file_path", "error")
 
 
@@ -106,8 +113,11 @@ def access_log(spark: SparkSession, path: str, known: DataFrame) -> DataFrame:
 
 
 def rendered(entry: dict, body: str) -> str:
-    """A Markdown file of an entry's non-null fields in their order."""
+    """A Markdown file of an entry's non-null fields in their order. Characters that reading replaces are escaped."""
     import yaml
 
     kept = {k: v for k, v in entry.items() if v not in (None, [], "") and k not in ("body", "file_path")}
-    return "---\n" + yaml.safe_dump(kept, allow_unicode=True, sort_keys=False) + "---\n\n" + body.rstrip("\n") + "\n"
+    front = yaml.safe_dump(kept, allow_unicode=True, sort_keys=False)
+    if set(front) & set(PUNCTUATION[0]):
+        front = yaml.safe_dump(kept, sort_keys=False)
+    return "---\n" + front + "---\n\n" + body.rstrip("\n") + "\n"

@@ -39,6 +39,14 @@ class Snapshots:
         self._point(table, name)
         return name
 
+    def append(self, table: str, rows: DataFrame) -> None:
+        """Rows added to the current version, whose other files stay as they are."""
+        name = self.version(table)
+        if name is None:
+            self.write(table, rows)
+        else:
+            rows.write.mode("append").parquet(f"{self.root}/{table}/{name}")
+
     def _point(self, table: str, name: str) -> None:
         p, fs = self._fs(f"{self.root}/{table}/_pointers")
         fs.mkdirs(p)
