@@ -81,6 +81,7 @@ class KnowledgeBase:
     # --- batch
     def build(self) -> DataFrame:
         """Rebuild the entries from the Markdown files; gives the files that were set aside."""
+        FileChanges.recover(self.spark, self.root)
         good, bad = markdown.entries(self.spark, self.root)
         twice = good.groupBy("id").count().where("count > 1")
         if not twice.isEmpty():
@@ -224,6 +225,7 @@ class KnowledgeBase:
         if self._batch is not None:
             yield self._batch
             return
+        FileChanges.recover(self.spark, self.root)
         changes = FileChanges(self.spark, self.root)
         try:
             yield changes
@@ -268,6 +270,7 @@ class KnowledgeBase:
             raise ConflictError("a batch is under way")
         before = {t: self.tables.version(t) for t in _CHANGED}
         results: dict[int, object] = {}
+        FileChanges.recover(self.spark, self.root)
         self._batch = FileChanges(self.spark, self.root)
         try:
             for n in sorted(range(len(operations)), key=lambda n: operations[n][0] != "ingest"):

@@ -9,11 +9,12 @@ from pyspark.sql import SparkSession
 
 class FileChanges:
     """Writes and removals below one root. A file is staged, synced and renamed into place; what it replaces is kept under
-    `.changes/<run>` until `done`, and `undo` puts that back in reverse order."""
+    `.changes/<run>/old/<number>` until `done`, a file that is new leaves a mark under `made`, and `undo` puts all back in
+    reverse order, by `recover` also after the process was lost. One writer at a time."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, run: str | None = None):
         self._context, self.root = spark.sparkContext, root.rstrip("/")
-        self.run = f"{self.root}/.changes/{uuid.uuid4().hex}"
+        self.run = f"{self.root}/.changes/{run or uuid.uuid4().hex}"
         self._made: list[tuple[str, str | None]] = []  # path, where the file that was there is kept
 
     def _path(self, path: str):
@@ -33,9 +34,11 @@ class FileChanges:
 
     def _aside(self, path: str) -> None:
         final = f"{self.root}/{path}"
-        kept = f"{self.run}/old/{len(self._made)}" if self._fs.exists(self._path(final)) else None
+        kept = f"{self.run}/old/{len(self._made)}/{path}" if self._fs.exists(self._path(final)) else None
         if kept:
             self._move(final, kept)
+        else:
+            self._fs.create(self._path(f"{self.run}/made/{len(self._made)}/{path}"), True).close()
         self._made.append((path, kept))
 
     def write(self, path: str, content: str) -> None:
@@ -60,3 +63,21 @@ class FileChanges:
     def done(self) -> None:
         self._made.clear()
         self._fs.delete(self._path(self.run), True)
+
+    @classmethod
+    def recover(cls, spark: SparkSession, root: str) -> int:
+        """Take back the changes of runs that never ended; gives how many runs."""
+        probe = cls(spark, root)
+        top = probe._path(f"{probe.root}/.changes")
+        runs = [s.getPath().getName() for s in probe._fs.listStatus(top)] if probe._fs.exists(top) else []
+        for run in runs:
+            lost, found = cls(spark, root, run), {}
+            for part in ("old", "made"):
+                folder = lost._path(f"{lost.run}/{part}")
+                files = lost._fs.listFiles(folder, True) if lost._fs.exists(folder) else None
+                while files is not None and files.hasNext():
+                    number, path = files.next().getPath().toUri().getPath().split(f"/.changes/{run}/{part}/", 1)[1].split("/", 1)
+                    found[int(number)] = (path, f"{lost.run}/old/{number}/{path}" if part == "old" else None)
+            lost._made = [found[n] for n in sorted(found)]
+            lost.undo()
+        return len(runs)

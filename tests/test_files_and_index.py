@@ -74,6 +74,18 @@ def test_file_changes_are_taken_back(spark, tmp_path):
     assert (tmp_path / "a.md").read_text() == "old" and not (tmp_path / "deep/b.md").exists()
 
 
+def test_a_lost_run_is_taken_back(spark, tmp_path):
+    (tmp_path / "a.md").write_text("old")
+    (tmp_path / "c d.md").write_text("c")
+    lost = FileChanges(spark, str(tmp_path))
+    lost.write("a.md", "new")
+    lost.write("deep/b.md", "b")
+    lost.write("deep/b.md", "b again")
+    lost._aside("c d.md")  # lost before the new file came
+    assert FileChanges.recover(spark, str(tmp_path)) == 1 and FileChanges.recover(spark, str(tmp_path)) == 0
+    assert (tmp_path / "a.md").read_text() == "old" and (tmp_path / "c d.md").read_text() == "c" and not (tmp_path / "deep/b.md").exists()
+
+
 def test_rendered_files_are_read_back(spark, tmp_path):
     entry = {"id": "x", "kind": "note", "title": "“Quoted”：a，b", "status": "active", "freshness": "watch", "tags": ["’t", "- x"], "created_at": date(2024, 1, 2), "relations": [{"target": "y", "type": "related", "source": "confirmed"}]}
     rows = markdown.parsed(spark.createDataFrame([("entries/x.md", markdown.rendered(entry, "---\nbody\n"))], "file_path string, content string")).collect()
