@@ -207,7 +207,9 @@ _add("content_hash", lambda t: t.entries.select("id", text.content_hash(F.col("t
 _add("freshness_decay", lambda t: _round(t.entries.select("id", metrics.freshness_score(F.col("captured_at"), AS_OF).alias("score")), "score"), "entries", f"SELECT id, round(CASE WHEN captured_at IS NULL OR captured_at > DATE '{AS_OF}' THEN 0.5 ELSE pow(0.5, date_diff('day', captured_at, DATE '{AS_OF}') / 365.0) END, 6) AS score FROM entries")
 _add("review_due_at", lambda t: t.entries.where("kind = 'dossier'").select("id", filters.review_date(F.col("reviewed_at"), F.col("freshness")).alias("due")), "entries", "SELECT id, review_due_at AS due FROM entries WHERE kind = 'dossier'")
 _add("trigrams", lambda t: t.entries.select("id", F.explode(text.trigrams(F.col("title"))).alias("gram")), "entries", "SELECT id, unnest(CASE WHEN length(title) = 0 THEN [] WHEN length(title) <= 3 THEN [title] ELSE [substring(title, i, 3) FOR i IN range(1, length(title) - 1)] END) AS gram FROM entries")
-_add("summary_line", lambda t: t.entries.select("id", analytics.summary_line(F.col("body")).alias("line")), "entries")
+_LINES = r"[trim(regexp_replace(regexp_replace(s, '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '[*_`]', '', 'g')) FOR s IN string_split(body, chr(10))]"
+_READABLE = rf"[r FOR r IN {_LINES} IF length(r) >= 4 AND NOT regexp_matches(r, '^(#|\||>|```|[-+*] |\d+\. )')]"
+_add("summary_line", lambda t: t.entries.select("id", analytics.summary_line(F.col("body")).alias("line")), "entries", f"SELECT id, left(({_READABLE})[1], 88) AS line FROM entries")
 
 # --- retrieval
 _add("exact_match", lambda t: search.exact(t.entries, "The", True), "entries", "SELECT id, CASE WHEN list_contains(aliases, 'the') THEN 90.0 WHEN lower(title) = 'the' THEN 80.0 WHEN list_contains(search_terms, 'the') THEN 75.0 WHEN instr(lower(title), 'the') > 0 THEN 55.0 END AS score FROM entries WHERE list_contains(aliases, 'the') OR lower(title) = 'the' OR list_contains(search_terms, 'the') OR instr(lower(title), 'the') > 0")
