@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorewright.errors import BodyTooLong, BodyTooShort, ConflictError, NotFoundError, ValidationError
-from lorewright.functions import text
+from lorewright.functions import segment, text
 from lorewright.model import ENTRY_SCHEMA, FINDING_SCHEMA, FRESHNESS, KINDS, LEAST_BODY, MOST_BODY, ORIGINS, QUEUE_SCHEMA, RELATION_SCHEMA, RELATION_TYPES, REVIEW_DAYS, STATUSES
-from lorewright.operators import analytics, checks, dense, filters, graph, lists, metrics, rules, search
+from lorewright.operators import analytics, checks, dense, filters, fulltext, graph, lists, metrics, rules, search
+from lorewright.plans.lineage import cut
 from lorewright.plans.shipping import ship
 from lorewright.sources import logs, markdown
 from lorewright.sources.files import FileChanges
@@ -26,8 +27,6 @@ ACCESS_SCHEMA = "entry_id string, op string, accessed_at timestamp"
 METRICS_SCHEMA = "entry_id string, evidence_strength double, drift_score double, compression_ratio long, action_relevance long, retrieval_heat double, authority_score double, updated_at timestamp"
 DOMAIN_SCHEMA = "domain string"
 WATCH_SCHEMA = "id string, source_type string, target string, cursor string, last_checked_at timestamp, consecutive_404_count int"
-POSTINGS_SCHEMA = "id string, field string, term string, tf long"
-SIZES_SCHEMA = "id string, length long"
 _SHORT = {"source": "src", "note": "note", "dossier": "dos", "concept": "con", "decision": "dec", "view": "view"}
 _CROCKFORD = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
 _FIXED = ("id", "kind", "file_path", "created_at")
@@ -91,20 +90,40 @@ class KnowledgeBase:
         return bad
 
     def reindex(self) -> None:
-        """Write the search index anew: postings in order of their terms, so that a query reads few row groups, and lengths."""
-        rows = search.postings(self.entries())
-        self.tables.write("postings", rows.repartitionByRange("term").sortWithinPartitions("term", "id"))
-        self.tables.write("sizes", search.lengths(self.tables.read("postings", POSTINGS_SCHEMA)))
+        """Write the search indexes anew: postings in order of index and term, so that a query reads few row groups, lengths, their
+        totals, the number of fields that hold each term, and the segmenter's dictionary."""
+        entries = self.entries()
+        self.tables.write("words", segment.dictionary(entries).words)
+        rows = fulltext.postings(entries, self._dictionary())
+        self.tables.write("postings", rows.repartitionByRange("index", "term").sortWithinPartitions("index", "term", "id"))
+        rows = self.tables.read("postings", fulltext.POSTINGS)
+        self.tables.write("vocabulary", fulltext.vocabulary(rows).repartitionByRange("index", "term").sortWithinPartitions("index", "term"))
+        self.tables.write("sizes", fulltext.sizes(rows))
+        totals = fulltext.totals(self.tables.read("sizes", fulltext.SIZES), entries.count())
+        self.tables.write("totals", self.spark.createDataFrame([(k, *v) for k, v in totals.items()], fulltext.TOTALS))
         self.tables.write("unindexed", self.spark.createDataFrame([], "id string"))
 
-    def index(self) -> tuple[DataFrame | None, DataFrame | None]:
-        """Postings and lengths: the kept ones, but for entries changed since, whose are worked out; None before a `reindex`."""
-        if self.tables.version("sizes") is None:
-            return None, None
-        changed = self.tables.read("unindexed", "id string")
-        fresh = search.postings(self.entries().join(changed, "id", "left_semi"))
-        kept = [self.tables.read(t, s).join(changed, "id", "left_anti") for t, s in (("postings", POSTINGS_SCHEMA), ("sizes", SIZES_SCHEMA))]
-        return kept[0].unionByName(fresh), kept[1].unionByName(search.lengths(fresh))
+    def _dictionary(self) -> segment.Dictionary:
+        return segment.of_words(self.tables.read("words", "word string, frequency int"))
+
+    def index(self) -> fulltext.Index | None:
+        """The kept indexes, but for entries changed since, whose are worked out; None before a `reindex`. Totals are the kept ones, less
+        what the changed entries had and with what they have."""
+        if self.tables.version("totals") is None:
+            return None
+        known, changed = self._dictionary(), self.tables.read("unindexed", "id string")
+        kept = [self.tables.read(t, s) for t, s in (("postings", fulltext.POSTINGS), ("sizes", fulltext.SIZES), ("vocabulary", fulltext.VOCABULARY))]
+        totals = {r["index"]: (r.docs, r.tokens) for r in self.tables.read("totals", fulltext.TOTALS).collect()}  # a row an index
+        if changed.isEmpty():
+            return fulltext.Index(kept[0], kept[1], totals, kept[2], known)
+        rows = self.entries().join(changed, "id", "left_semi")
+        fresh = cut(fulltext.postings(rows, known))
+        lengths = fulltext.sizes(fresh)
+        was, now = (fulltext.totals(x, 0) for x in (kept[1].join(changed, "id", "left_semi"), lengths))
+        docs = self.entries().count()
+        totals = {k: (docs, n - was[k][1] + now[k][1]) for k, (_, n) in totals.items()}
+        out = [k.join(changed, "id", "left_anti").select(*k.columns).unionByName(f) for k, f in zip(kept, (fresh, lengths), strict=False)]
+        return fulltext.Index(*out, totals, kept[2], known)
 
     def recompute(self) -> None:
         """All metrics and authority scores."""
@@ -124,9 +143,28 @@ class KnowledgeBase:
             self.tables.append("access_log", self.spark.createDataFrame([(entry_id, "get", now)], ACCESS_SCHEMA))
         return row.asDict(recursive=True)
 
-    def search(self, query: str, kinds: list[str] | None = None, where: dict[str, object] | None = None, limit: int = 20, graph_expansion: bool = True, archived: bool = False) -> DataFrame:
+    def search(
+        self, query: str, kinds: list[str] | None = None, where: dict[str, object] | None = None, backends: list[str] | None = None, limit: int = 20, graph_expansion: bool = True,
+        archived: bool = False, embedder: dense.Embedder | None = None,
+    ) -> DataFrame:
+        """(id, score, backends, snippet), best first; vectors count where an embedder is given and some are stored."""
         authority = self.metrics().select(F.col("entry_id").alias("id"), F.col("authority_score").alias("authority"))
-        return search.search(self.entries(), self.relations(), authority, query, kinds, limit, graph_expansion, archived, *self.index(), where=where)
+        return search.search(self.entries(), self.relations(), authority, query, kinds, where, backends, limit, graph_expansion, archived, self.index(), self._dense(embedder))
+
+    def _dense(self, embedder: dense.Embedder | None) -> Callable[[str, int], DataFrame] | None:
+        """The vector route; an embedder that fails gives no hits and a line in the log of errors."""
+        store = self.tables.read("dense", dense.STORE_SCHEMA)
+        if not dense.enabled(store, embedder):
+            return None
+
+        def hits(query: str, limit: int) -> DataFrame:
+            try:
+                return dense.dense_hits(store, query, limit, embedder)
+            except Exception as e:  # an embedder may fail in any way; the other routes still answer
+                logs.dense_error(self.spark, self.root, "dense_search_error", f"{type(e).__name__}: {e}")
+                return self.spark.createDataFrame([], "id string, score double")
+
+        return hits
 
     def related(self, entry_id: str, depth: int = 1) -> DataFrame:
         return graph.related(self.relations(), self.entries(), self.entries().where(F.col("id") == entry_id).select("id"), depth).select("id", "layer")

@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewright import more_queries
+from lorewright import more_queries, search_queries
 from lorewright.functions import text
 from lorewright.model import CHAIN
 from lorewright.operators import analytics, filters, graph, metrics, rules, search
@@ -213,31 +213,10 @@ _add("summary_line", lambda t: t.entries.select("id", analytics.summary_line(F.c
 
 # --- retrieval
 _add("exact_match", lambda t: search.exact(t.entries, "The", True), "entries", "SELECT id, CASE WHEN list_contains(aliases, 'the') THEN 90.0 WHEN lower(title) = 'the' THEN 80.0 WHEN list_contains(search_terms, 'the') THEN 75.0 WHEN instr(lower(title), 'the') > 0 THEN 55.0 END AS score FROM entries WHERE list_contains(aliases, 'the') OR lower(title) = 'the' OR list_contains(search_terms, 'the') OR instr(lower(title), 'the') > 0")
-_FIELDS = "fields AS (SELECT id, 'title' AS field, title AS t FROM entries UNION ALL SELECT id, 'aliases', array_to_string(aliases, ' ') FROM entries UNION ALL SELECT id, 'search_terms', array_to_string(search_terms, ' ') FROM entries UNION ALL SELECT id, 'tags', array_to_string(tags, ' ') FROM entries UNION ALL SELECT id, 'body', body FROM entries)"
-_POSTINGS = f"{_FIELDS}, postings AS (SELECT id, field, term, count(*) AS tf FROM (SELECT id, field, unnest([x FOR x IN string_split_regex(lower(regexp_replace(coalesce(t, ''), '[^0-9A-Za-z_.+#-]', ' ', 'g')), ' +') IF x <> '']) AS term FROM fields) GROUP BY 1, 2, 3), sizes AS (SELECT id, sum(tf) AS length FROM postings GROUP BY 1)"
-
-
-def _bm25(t: Tables, terms: list[str]) -> DataFrame:
-    index = graph.cut(search.postings(t.entries))
-    sizes = search.lengths(index)
-    return search.bm25(index, sizes, t.entries.count(), sizes.agg(F.avg("length")).first()[0] or 1.0, terms)
-
-
-_BM25 = f"""{_POSTINGS}, hits AS (SELECT id, term, sum(CASE WHEN field IN ('title', 'aliases') THEN 2.0 ELSE 1.0 END * tf) AS f FROM postings WHERE term IN ('the', 'of') GROUP BY 1, 2),
-idf AS (SELECT term, CASE WHEN ln(((SELECT count(*) FROM entries) - count(*) + 0.5) / (count(*) + 0.5)) <= 0 THEN 1e-6 ELSE ln(((SELECT count(*) FROM entries) - count(*) + 0.5) / (count(*) + 0.5)) END AS w FROM hits GROUP BY 1),
-scores AS (SELECT id, sum(w * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length / (SELECT avg(length) FROM sizes)))) AS score FROM hits JOIN idf USING (term) JOIN sizes USING (id) GROUP BY 1 HAVING count(*) = 2)"""
-_add("postings", lambda t: search.postings(t.entries), "entries", f", {_POSTINGS} SELECT id, field, term, tf FROM postings")
-_add("bm25_en", lambda t: _bm25(t, ["the", "of"]).select("id", F.round("score", 9).alias("score")), "entries", f", {_BM25} SELECT id, round(score, 9) AS score FROM scores")
-_add("trigram_substring", lambda t: search.substring_hits(t.entries, "tion"), "entries", f", {_FIELDS} SELECT id, sum((length(lower(t)) - length(replace(lower(t), 'tion', ''))) / 4.0) AS score FROM fields WHERE contains(lower(t), 'tion') GROUP BY 1")
 _SEEDS = "seeds AS (SELECT id, (n % 5 + 1)::DOUBLE AS score FROM entries WHERE n % 20 = 0)"
 _add("graph_expand", lambda t: search.expand(t.edges, t.entries, t.entries.where("n % 20 = 0").select("id", (F.col("n") % 5 + 1).cast("double").alias("score"))), "entries edges", f", {_SEEDS} SELECT x.id, max(score) * 0.5 AS score FROM (SELECT source_id AS seed, target_id AS id FROM edges UNION ALL SELECT target_id, source_id FROM edges) x JOIN seeds s ON s.id = seed JOIN entries e ON e.id = x.id AND e.status <> 'archived' WHERE x.id NOT IN (SELECT id FROM seeds) GROUP BY 1")
 _add("authority_boost", lambda t: _round(search.boost(t.entries.select("id", (F.col("n") % 5 + 1).cast("double").alias("score")), t.authority), "score"), "entries", f", every AS (SELECT id, (n % 5 + 1)::DOUBLE AS score FROM entries), {_AUTHORITY} SELECT id, round(score * (1 + 0.3 * authority / (SELECT max(authority) FROM authority)), 6) AS score FROM every JOIN authority USING (id)")
-_ROUTES = f"""{_AUTHORITY}, hit AS (SELECT id FROM entries WHERE list_contains(search_terms, 'the')),
-word AS (SELECT id FROM entries WHERE contains(lower(body), 'the') OR contains(lower(title), 'the')),
-near AS (SELECT DISTINCT x.id FROM (SELECT source_id AS seed, target_id AS id FROM edges UNION ALL SELECT target_id, source_id FROM edges) x JOIN hit ON hit.id = seed JOIN entries e ON e.id = x.id AND e.status <> 'archived' WHERE x.id NOT IN (SELECT id FROM hit)),
-routes AS (SELECT 'exact' AS route, row_number() OVER (ORDER BY id) AS place, id FROM hit UNION ALL SELECT 'word', row_number() OVER (ORDER BY id), id FROM word UNION ALL SELECT 'graph', row_number() OVER (ORDER BY authority DESC NULLS LAST, near.id), near.id FROM near LEFT JOIN authority ON authority.id = near.id)"""
 _add("snippet", lambda t: t.entries.select("id", text.snippet(F.col("title"), F.col("body"), ["tion", "und"]).alias("snippet")), "entries", "SELECT id, trim(CASE WHEN instr(lower(b), 'tion') > 0 THEN substring(b, greatest(instr(lower(b), 'tion') - 24, 1), instr(lower(b), 'tion') + 40 - greatest(instr(lower(b), 'tion') - 24, 1)) WHEN instr(lower(b), 'und') > 0 THEN substring(b, greatest(instr(lower(b), 'und') - 24, 1), instr(lower(b), 'und') + 39 - greatest(instr(lower(b), 'und') - 24, 1)) ELSE left(b, 96) END) AS snippet FROM (SELECT id, coalesce(nullif(body, ''), title) AS b FROM entries)")
-_add("search_fused", lambda t: search.search(t.entries, t.edges, t.authority, "the tion", limit=20).select("id", F.round("score", 6).alias("score"), "snippet"))
 
 # --- vectors
 _VECTORS = "v AS (SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings)"
@@ -303,6 +282,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 more_queries.register(_add, _round)
+search_queries.register(_add, _round, _AUTHORITY)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

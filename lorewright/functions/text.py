@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -154,39 +153,3 @@ def rewrite_links(body: str, old_path: str, new_path: str, moved: dict[str, str]
         return m[1] + (f"<{spelled}>" if angled else spelled) + m[3]
 
     return _LINK.sub(one, body)
-
-
-def tokenize(text: str, dictionary: frozenset[str] = frozenset()) -> list[str]:
-    """Longest dictionary words of Han runs, their other characters as bigrams; other runs split at spaces."""
-    out: list[str] = []
-    longest = max(map(len, dictionary), default=0)
-    for run in re.findall(r"[一-鿿㐀-䶿豈-﫿\U00020000-\U0002ebef]+|[^\s一-鿿㐀-䶿豈-﫿]+", text):
-        if not re.match(r"[㐀-鿿豈-﫿\U00020000-\U0002ebef]", run):
-            out.append(run)
-            continue
-        at, loose = 0, ""
-        while at < len(run):
-            word = next((run[at : at + n] for n in range(min(longest, len(run) - at), 1, -1) if run[at : at + n] in dictionary), None)
-            if word:
-                out += _bigrams(loose) + [word]
-                loose, at = "", at + len(word)
-            else:
-                loose += run[at]
-                at += 1
-        out += _bigrams(loose)
-    return out
-
-
-def _bigrams(run: str) -> list[str]:
-    return [run[i : i + 2] for i in range(len(run) - 1)] or ([run] if run else [])
-
-
-def tokens(dictionary: frozenset[str] = frozenset()):
-    """A pandas UDF that gives a text's tokens as an array."""
-
-    @F.pandas_udf("array<string>")
-    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda s: [] if s is None else tokenize(s, dictionary))
-
-    return apply

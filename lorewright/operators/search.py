@@ -1,95 +1,58 @@
-"""Retrieval: exact matches, BM25 over derived postings, trigram matches, graph expansion, vectors, fusion and ranking.
+"""Retrieval by routes: exact matches, BM25 over positional indexes, graph neighbours, vectors, fusion and ranking.
 
-An index is a postings table (id, field, term, tf), rebuilt from the entries. BM25 sums field weights into the term
-frequency; a document's length counts its tokens of all fields. Limits come before filters, as ranked retrieval defines it.
+Where exact matches remain after the filters, they are the answer. Else BM25's routes are summed, graph neighbours of what
+is left of them join where that route is asked for, and vector hits add to the scores. Each index's hits are cut before
+filters, as ranked retrieval defines it, so fewer than `limit` rows may come back; exact hits never are.
 """
 
 from __future__ import annotations
 
-import math
+import unicodedata
+from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorewright.functions.text import ascii_lower, cosine, snippet
-from lorewright.operators import filters
-from lorewright.operators.query import expand_mixed, parse_query, symbol_variants
+from lorewright.operators import filters, fulltext
+from lorewright.operators.query import Segment, expand_mixed, parse_query, symbol_variants
 from lorewright.plans.lineage import cut
 
-K1, B = 1.2, 0.75
-#: Weights of the fields as they take effect.
-WEIGHTS = {"title": 2.0, "aliases": 2.0, "search_terms": 1.0, "tags": 1.0, "body": 1.0}
 AUTHORITY_WEIGHT = 0.3
 PARTIAL = 0.7
-
-
-def fields(entries: DataFrame) -> DataFrame:
-    """(id, field, text), one row a field."""
-    joined = lambda c: F.array_join(c, " ")
-    parts = {"title": F.col("title"), "aliases": joined("aliases"), "search_terms": joined("search_terms"), "tags": joined("tags"), "body": F.col("body")}
-    return entries.select("id", F.explode(F.array(*[F.struct(F.lit(k).alias("field"), v.alias("text")) for k, v in parts.items()])).alias("f")).select("id", "f.field", "f.text")
-
-
-def ascii_terms(text: Column) -> Column:
-    """Runs of ASCII letters, digits and the characters that stay within tokens."""
-    return F.regexp_extract_all(text, F.lit("[0-9A-Za-z_.+#-]+"), F.lit(0))
-
-
-def postings(entries: DataFrame) -> DataFrame:
-    """(id, field, term, tf) of the ASCII index."""
-    return fields(entries).select("id", "field", F.explode(ascii_terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("id", "field", F.lower("term").alias("term")).agg(F.count("*").alias("tf"))
-
-
-def lengths(index: DataFrame) -> DataFrame:
-    """(id, length): tokens of all fields."""
-    return index.groupBy("id").agg(F.sum("tf").alias("length"))
-
-
-def _best(scores: DataFrame, limit: int | None) -> DataFrame:
-    return scores if limit is None else scores.orderBy(F.desc("score"), "id").limit(limit)
-
-
-def bm25(index: DataFrame, sizes: DataFrame, total: int, average: float, terms: list[str], limit: int | None = None, weights: dict[str, float] | None = None) -> DataFrame:
-    """(id, score) of the documents that hold every term, the best `limit` by score and id (None: all). total and average are the
-    number of documents and their mean length; the postings are filtered to the terms before anything is joined."""
-    if not terms:
-        return index.sparkSession.createDataFrame([], "id string, score double")
-    weight = F.coalesce(*[F.when(F.col("field") == k, v) for k, v in (weights or WEIGHTS).items()], F.lit(1.0))
-    hits = index.where(F.col("term").isin(*terms)).groupBy("id", "term").agg(F.sum(weight * F.col("tf")).alias("f"))
-    counts = hits.groupBy("term").agg(F.count("*").alias("n"))
-    idf = F.log((F.lit(total) - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    scored = hits.join(F.broadcast(counts.select("term", F.when(idf <= 0, 1e-6).otherwise(idf).alias("idf"))), "term").join(sizes, "id")  # a row a query term
-    norm = F.col("f") + K1 * (1 - B + B * F.col("length") / F.lit(float(average)))
-    scores = scored.groupBy("id").agg(F.sum(F.col("idf") * F.col("f") * (K1 + 1) / norm).alias("score"), F.count("*").alias("terms"))
-    return _best(scores.where(F.col("terms") == len(set(terms))).select("id", "score"), limit)
-
-
-def substring_hits(entries: DataFrame, text: str, limit: int | None = None) -> DataFrame:
-    """(id, score) of documents whose fields hold the text whatever its case, scored by occurrences; three characters at least."""
-    if len(text) < 3:
-        return entries.sparkSession.createDataFrame([], "id string, score double")
-    low = text.lower()
-    found = fields(entries).select("id", F.lower(F.coalesce("text", F.lit(""))).alias("t")).where(F.col("t").contains(low))
-    count = (F.length("t") - F.length(F.replace("t", F.lit(low), F.lit("")))) / len(low)
-    return _best(found.groupBy("id").agg(F.sum(count).alias("score")), limit)
+#: A segment's routes and their weights by its type (fixed values); exact+ also finds parts of titles.
+ROUTES = {
+    "cjk": (("cn", 1.0), ("tri", 0.5)),
+    "fullwidth": (("cn", 1.0),),
+    "ascii_word": (("en", 1.0),),
+    "ascii_short": (("exact+", 2.0), ("en", 1.0)),
+    "symbol": (("exact", 2.0), ("en", 1.0), ("variants", 0.8)),
+    "mixed": (("exact", 2.0), ("en", 1.0), ("tri", 0.5)),
+    "version": (("exact", 2.0), ("en", 1.0), ("tri", 0.5)),
+    "number": (("exact", 2.0), ("en", 1.0)),
+}
+HITS = "id string, score double, backends array<string>"
 
 
 def exact(entries: DataFrame, term: str, title_substring: bool = False, ids: bool = False) -> DataFrame:
     """(id, score): title 80, alias 90, term 75, tag 70, title substring 55, and with ids the id itself 1000; the best counts."""
+    term = unicodedata.normalize("NFC", term).strip()
     low = ascii_lower(F.lit(term))
     holds = lambda c: F.exists(c, lambda x: ascii_lower(x) == low)
     tests = [(ids and F.col("id") == term, 1000.0), (holds("aliases"), 90.0), (ascii_lower(F.col("title")) == low, 80.0), (holds("search_terms"), 75.0), (holds("tags"), 70.0)]
     if title_substring:
-        tests.append((F.instr(ascii_lower(F.col("title")), term.lower()) > 0, 55.0))
+        tests.append((F.contains(ascii_lower(F.col("title")), low), 55.0))
     score = F.coalesce(*[F.when(c, F.lit(s)) for c, s in tests if c is not False])
     return entries.select("id", score.alias("score")).where("score is not null")
 
 
-def expand(edges: DataFrame, entries: DataFrame, seeds: DataFrame, factor: float = 0.5) -> DataFrame:
-    """(id, score) of active neighbours of seeds (id, score), seeds left out: factor times the best seed's score."""
+def expand(edges: DataFrame, entries: DataFrame, seeds: DataFrame, factor: float = 0.5, archived: bool = False) -> DataFrame:
+    """(id, score) of active neighbours (archived ones too, if asked) of seeds (id, score), seeds left out: factor times the best
+    seed's score."""
     both = edges.select(F.col("source_id").alias("seed"), F.col("target_id").alias("id")).unionAll(edges.select(F.col("target_id").alias("seed"), F.col("source_id").alias("id")))
     near = both.join(seeds.select(F.col("id").alias("seed"), "score"), "seed").join(seeds.select("id"), "id", "left_anti")
-    return near.join(entries.where("status <> 'archived'").select("id"), "id", "left_semi").groupBy("id").agg((F.max("score") * factor).alias("score"))
+    return near.join(entries.where(F.lit(archived) | (F.col("status") != "archived")).select("id"), "id", "left_semi").groupBy("id").agg((F.max("score") * factor).alias("score"))
 
 
 def nearest(vectors: DataFrame, query: list[float], limit: int, weight: float = 1.5) -> DataFrame:
@@ -110,57 +73,78 @@ def rrf(lists: DataFrame, k: int = 60) -> DataFrame:
     return lists.groupBy("id").agg(F.sum(1 / (F.lit(k) + F.col("place"))).alias("score"))
 
 
-def fused(entries: DataFrame, index: DataFrame, query: str, limit: int, sizes: DataFrame | None = None) -> DataFrame:
-    """(id, score) of a query's segments: each segment's routes weigh by its type, and documents that miss a segment count
-    PARTIAL."""
-    segments = [s for s in expand_mixed(parse_query(query)) if s.type != "emoji"]
-    sizes = lengths(index) if sizes is None else sizes
-    total, average = entries.count(), sizes.agg(F.avg("length")).first()[0] or 1.0
-    word = lambda text: bm25(index, sizes, total, average, [t.lower() for t in text.split()], limit)
-    legs = []
+def fused(entries: DataFrame, index: fulltext.Index, segments: list[Segment], limit: int | None) -> DataFrame:
+    """(id, score, backends): each segment's routes by its type, each index's hits cut to `limit`; entries that miss a segment
+    count PARTIAL. Symbols' variants are searched as words."""
+    legs: list[DataFrame] = []
+
+    def leg(hits: DataFrame, n: int, weight: float, backend: str) -> None:
+        legs.append(hits.select("id", F.lit(n).alias("segment"), (F.col("score") * weight).alias("score"), F.lit(len(legs)).alias("leg"), F.lit(backend).alias("backend")))
+
+    find = {"en": fulltext.search_en, "cn": fulltext.search_cn, "tri": fulltext.search_tri}
     for n, s in enumerate(segments):
-        routes: list[tuple[DataFrame, float]] = []
-        if s.type == "cjk":
-            routes = [(substring_hits(entries, s.text, limit), 0.5)] if len(s.text) > 2 else [(exact(entries, s.text, True), 1.0)]
-        elif s.type == "ascii_word":
-            routes = [(word(s.text), 1.0)]
-        else:
-            routes = [(exact(entries, s.text, s.type == "ascii_short"), 2.0), (word(s.text), 1.0)]
-            if s.type == "symbol":
-                routes += [(word(v), 0.8) for v in symbol_variants(s.text)]
-            if s.type in ("mixed", "version"):
-                routes.append((substring_hits(entries, s.text, limit), 0.5))
-        legs += [r.select("id", F.lit(n).alias("segment"), (F.col("score") * w).alias("score")) for r, w in routes]
+        for route, weight in ROUTES[s.type]:
+            if route in find:
+                leg(find[route](index, s.text, limit), n, weight, f"fts_{route}")
+            elif route == "variants":
+                for v in symbol_variants(s.text):
+                    leg(fulltext.search_en(index, v, limit), n, weight, "fts_en")
+            else:
+                leg(exact(entries, s.text, route == "exact+"), n, weight, "exact")
     if not legs:
-        return entries.select("id", F.lit(0.0).alias("score")).limit(0)
-    union = legs[0]
-    for leg in legs[1:]:
-        union = union.unionAll(leg)
-    sums = union.groupBy("id").agg(F.sum("score").alias("score"), F.countDistinct("segment").alias("hits"))
-    return sums.select("id", F.when(F.col("hits") < len(segments), F.col("score") * PARTIAL).otherwise(F.col("score")).alias("score"))
-
-
-def search(entries: DataFrame, edges: DataFrame, authority: DataFrame, query: str, kinds: list[str] | None = None, limit: int = 20, graph: bool = True, archived: bool = False, index: DataFrame | None = None, sizes: DataFrame | None = None, where: dict[str, object] | None = None) -> DataFrame:
-    """(id, score, snippet), best first: exact id and term matches, fused BM25 and graph expansion, boosted by authority.
-
-    index and sizes are the postings and lengths where these are kept as tables; else they are built for this query.
-    Candidates are max(5 * limit, 20) of each index; kind, status and attribute filters apply to them afterwards, before the cut, so fewer than limit
-    rows may come back."""
-    index = cut(postings(entries)) if index is None else index
-    sizes = cut(lengths(index)) if sizes is None else sizes
+        return entries.sparkSession.createDataFrame([], HITS)
+    sums = reduce(DataFrame.unionAll, legs).groupBy("id").agg(F.sum("score").alias("score"), F.countDistinct("segment").alias("hits"), F.array_sort(F.collect_set(F.struct("leg", "backend"))).alias("met"))
+    score = F.when(F.col("hits") < len(segments), F.col("score") * PARTIAL).otherwise(F.col("score"))
+    return sums.select("id", score.alias("score"), F.array_distinct(F.col("met.backend")).alias("backends"))
+
+
+def indexes_of(segments: list[Segment]) -> list[str]:
+    """The full-text indexes that the segments' routes ask."""
+    asked = {"en" if route == "variants" else route for s in segments for route, _ in ROUTES[s.type]}
+    return [k for k in fulltext.WEIGHTS if k in asked]
+
+
+def search(
+    entries: DataFrame, edges: DataFrame, authority: DataFrame, query: str, kinds: list[str] | None = None, where: dict[str, object] | None = None, backends: list[str] | None = None,
+    limit: int = 20, expand_graph: bool = True, archived: bool = False, index: fulltext.Index | None = None, dense: Callable[[str, int], DataFrame] | None = None,
+) -> DataFrame:
+    """(id, score, backends, snippet), best first.
+
+    backends: of exact, bm25, graph and dense; exact and bm25, and dense where it is there, if none are given. graph counts
+    only where it is listed and expand_graph holds. index: the kept indexes; else those that the query asks are built for it.
+    dense gives (id, score) for a text and a number of hits; it is None without an embedder or without vectors. kinds, where
+    (attributes) and, unless archived, the status filter each route's hits."""
+    text = unicodedata.normalize("NFKC", unicodedata.normalize("NFC", query).strip())
+    segments = parse_query(text)
+    routes = list(dict.fromkeys(backends or ["exact", "bm25", *(["dense"] if dense else [])]))
+    allowed = entries.where(F.lit(archived) | (F.col("status") != "archived"))
+    allowed = filters.matching(allowed.where(F.col("kind").isin(*kinds)) if kinds else allowed, where or {}).select("id")
+    named = lambda hits, backend: hits.select("id", "score", F.array(F.lit(backend)).alias("backends"))
+    kept = lambda hits: cut(hits.join(allowed, "id", "left_semi"))
+    ranked = lambda hits: _ranked(entries, authority, hits, [s.text for s in segments if s.type != "emoji"], limit)
+    found = entries.sparkSession.createDataFrame([], HITS)
+    if not segments:
+        return ranked(found)
+    if "exact" in routes:
+        hits = kept(named(exact(entries, text, ids=True), "exact"))
+        if not hits.isEmpty():
+            return ranked(hits)
     most = max(5 * limit, 20)
-    found = cut(exact(entries, query, ids=True).unionAll(fused(entries, index, query, most, sizes)).groupBy("id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "id").limit(most))
-    if graph:
-        found = found.unionAll(expand(edges, entries, found))
-    keep = entries.where(F.lit(archived) | (F.col("status") != "archived"))
-    if kinds:
-        keep = keep.where(F.col("kind").isin(*kinds))
-    found = found.join(filters.matching(keep, where or {}).select("id"), "id", "left_semi")
-    ranked = boost(found, authority).orderBy(F.desc("score"), "id").limit(limit)
-    needles = [s.text for s in parse_query(query)]
-    return ranked.join(entries.select("id", snippet(F.col("title"), F.col("body"), needles).alias("snippet")), "id").orderBy(F.desc("score"), "id")
-
-
-def idf(total: int, holding: int) -> float:
-    """The term weight that bm25 uses."""
-    return max(math.log((total - holding + 0.5) / (holding + 0.5)), 0.0) or 1e-6
+    if "bm25" in routes:
+        meant = expand_mixed([s for s in segments if s.type != "emoji"])
+        found = kept(fused(entries, fulltext.built(entries, which=indexes_of(meant)) if index is None and meant else index, meant, most))
+        if "graph" in routes and expand_graph:
+            found = found.unionByName(kept(named(expand(edges, entries, found, archived=archived), "graph")))
+    if "dense" in routes and dense:
+        near = kept(named(dense(text, most), "dense"))
+        both = found.withColumn("leg", F.lit(0)).unionByName(near.withColumn("leg", F.lit(1)))
+        both = both.groupBy("id").agg(F.sum("score").alias("score"), F.array_sort(F.collect_list(F.struct("leg", "backends"))).alias("met"))
+        found = near if routes == ["dense"] else both.select("id", "score", F.flatten("met.backends").alias("backends"))
+    return ranked(found)
+
+
+def _ranked(entries: DataFrame, authority: DataFrame, hits: DataFrame, needles: list[str], limit: int) -> DataFrame:
+    best = boost(hits, authority).join(hits.select("id", "backends"), "id").orderBy(F.desc("score"), "id").limit(limit)
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    shown = entries.select("id", snippet(bare("title"), bare("body"), needles).alias("snippet"))
+    return best.join(shown, "id").orderBy(F.desc("score"), "id")

@@ -3,6 +3,8 @@ append never rewrites one."""
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +59,12 @@ def status_transition(spark: SparkSession, root: str, entry_id: str, before: str
     append(spark.createDataFrame([tuple(row.values())], ", ".join(f"`{k}` string" for k in row)), f"{root}/logs/refresh/status-events", at[:10])
 
 
+def dense_error(spark: SparkSession, root: str, phase: str, message: str) -> None:
+    """One line of the log of the vector route's errors."""
+    now = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    append(spark.createDataFrame([(now, phase, message[:500])], "ts string, phase string, message string"), f"{root}/logs/retrieval/dense-errors", now[:10])
+
+
 def report(findings: DataFrame, folder: str, name: str) -> str:
     """Findings as one JSON report; gives its path."""
     path = f"{folder}/{name}"

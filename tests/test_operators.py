@@ -1,5 +1,3 @@
-import math
-import sqlite3
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -96,8 +94,8 @@ def test_query_parts():
 
 def test_text_functions(spark):
     row = spark.createDataFrame([("C++ 与 Node.js: a guide!!", "é", "kitten", "sitting")], "t string, n string, a string, b string")
-    got = row.select(text.slug(F.col("t")).alias("slug"), text.has_nfd_residual(F.col("n")).alias("nfd"), text.to_nfc(F.col("n")).alias("nfc"), text.similarity_ratio("a", "b").alias("ratio"), text.trigrams(F.col("a")).alias("grams"), text.tokens(frozenset({"知识库"}))(F.lit("知识库系统 AI")).alias("words")).first()
-    assert got.slug == "cpp-与-nodejs-a-guide" and got.nfd and got.nfc == "é" and got.ratio == pytest.approx(2 * 4 / 13) and got.grams == ["kit", "itt", "tte", "ten"] and got.words == ["知识库", "系统", "AI"]
+    got = row.select(text.slug(F.col("t")).alias("slug"), text.has_nfd_residual(F.col("n")).alias("nfd"), text.to_nfc(F.col("n")).alias("nfc"), text.similarity_ratio("a", "b").alias("ratio"), text.trigrams(F.col("a")).alias("grams")).first()
+    assert got.slug == "cpp-与-nodejs-a-guide" and got.nfd and got.nfc == "é" and got.ratio == pytest.approx(2 * 4 / 13) and got.grams == ["kit", "itt", "tte", "ten"]
 
 
 def test_links_follow_a_move():
@@ -112,17 +110,3 @@ def test_filter_language():
             filters.clauses(bad, ("kind",))
     with pytest.raises(ValueError):
         filters.clauses("kind = a", ("kind", "status"), {"status": "draft"})
-
-
-def test_bm25_agrees_with_fts5(spark):
-    docs = [("a", "red fox", "the red fox jumps over the dog"), ("b", "dog", "a dog sleeps the day away"), ("c", "nothing", "blue sky and sea"), ("d", "sea", "the sea is red red red"), ("e", "plain", "words of no note")]
-    con = sqlite3.connect(":memory:")
-    con.execute("CREATE VIRTUAL TABLE t USING fts5(id UNINDEXED, title, body)")
-    con.executemany("INSERT INTO t VALUES (?, ?, ?)", docs)
-    want = dict(con.execute("SELECT id, -bm25(t, 0.0, 2.0, 1.0) FROM t WHERE t MATCH 'red'").fetchall())
-    empty = F.array().cast("array<string>")
-    entries = spark.createDataFrame(docs, "id string, title string, body string").withColumn("aliases", empty).withColumn("search_terms", empty).withColumn("tags", empty)
-    index = search.postings(entries)
-    sizes = search.lengths(index)
-    got = {r.id: r.score for r in search.bm25(index, sizes, 5, sizes.agg(F.avg("length")).first()[0], ["red"]).collect()}
-    assert set(got) == set(want) and all(math.isclose(got[k], want[k], rel_tol=1e-6) for k in want)
