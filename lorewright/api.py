@@ -492,12 +492,13 @@ class KnowledgeBase:
         return found.join(self.entries().where("status <> 'archived'").select("id"), "id", "left_semi")
 
     def recompute_neighbours(self, entry_id: str) -> int:
-        """Metrics of an entry and its neighbours anew; the others' stay. Gives how many."""
-        touched = graph.cut(lists.affected(self.spark.createDataFrame([(entry_id,)], "id string"), self.relations(), self.relations()))
-        fresh = metrics.entry_metrics(self.entries(), self.relations(), self.access_log(), self.today.isoformat()).withColumnRenamed("id", "entry_id")
-        held = self.metrics()
-        old = held.select("entry_id", "authority_score")
-        rows = fresh.join(old, "entry_id", "left").withColumn("authority_score", F.coalesce("authority_score", F.lit(0.0)))
+        """Metrics of an entry, its neighbours and all whose evidence leads to it, anew; the others' aren't worked out. Gives how many."""
+        entries, edges, held = self.entries(), self.relations(), self.metrics()
+        own = self.spark.createDataFrame([(entry_id,)], "id string")
+        near = lists.affected(own, edges, edges).join(entries, "id", "left_semi")
+        touched = cut(metrics.dependants(own, entries, edges, edges).unionByName(near.select("id")).distinct())
+        fresh = metrics.entry_metrics(entries, edges, self.access_log(), self.today.isoformat(), touched).withColumnRenamed("id", "entry_id")
+        rows = fresh.join(held.select("entry_id", "authority_score"), "entry_id", "left").withColumn("authority_score", F.coalesce("authority_score", F.lit(0.0)))
         rows = rows.withColumn("updated_at", F.lit(datetime.now(UTC).replace(tzinfo=None)).cast("timestamp")).select(*held.columns)
         self.tables.write("metrics", lists.refreshed(rows, held, touched))
         return touched.count()

@@ -162,6 +162,23 @@ _add(
     UNION ALL SELECT 'action_relevance', action_relevance FROM relevance UNION ALL SELECT 'retrieval_heat', coalesce(heat, 0) FROM entries LEFT JOIN heat ON entry_id = id)
     SELECT metric, count(*) AS count, round(min(v), 6) AS min, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.9), 6) AS p90, round(quantile_cont(v, 0.95), 6) AS p95, round(max(v), 6) AS max FROM long GROUP BY 1""",
 )
+
+
+def _after_change(t: Tables) -> DataFrame:
+    """The metrics of a base whose every 50th entry had no edges before, worked out from the held ones and what these edges touch."""
+    entries, edges, access = t.entries, graph.cut(t.edges), t.access
+    changed = entries.where("n % 50 = 7").select("id")
+    old = edges.join(changed.withColumnRenamed("id", "source_id"), "source_id", "left_anti").select(*edges.columns)
+    held = graph.cut(metrics.entry_metrics(entries, old, access, AS_OF))
+    return _round(metrics.updated_metrics(held, changed, entries, edges, old, access, AS_OF), "evidence_strength", "drift_score", "retrieval_heat")
+
+
+_add(
+    "metrics_after_change", _after_change, "entries edges access_log",
+    f""", {_FACTS}, {_HEAT}, {_RELEVANCE}, derived AS (SELECT source_id AS id, count(*) AS n FROM edges WHERE type = 'derived_from' GROUP BY 1)
+    SELECT f.id, sources, diversity, round(evidence_strength, 6) AS evidence_strength, round(drift_score, 6) AS drift_score, coalesce(d.n, 0) AS compression_ratio, action_relevance, round(coalesce(heat, 0), 6) AS retrieval_heat
+    FROM facts f LEFT JOIN derived d USING (id) JOIN relevance USING (id) LEFT JOIN heat ON entry_id = f.id""",
+)
 _add(
     "length_distribution", lambda t: _round(filters.length_distribution(t.entries), "p50", "p90", "p99", "rejected"), "entries",
     "SELECT kind, round(quantile_cont(length(body), 0.5), 6) AS p50, round(quantile_cont(length(body), 0.9), 6) AS p90, round(quantile_cont(length(body), 0.99), 6) AS p99, round(avg(CASE WHEN length(body) < 50 THEN 1.0 ELSE 0 END), 6) AS rejected, CASE WHEN avg(CASE WHEN length(body) < 50 THEN 1.0 ELSE 0 END) = 0 THEN 'ok' WHEN avg(CASE WHEN length(body) < 50 THEN 1.0 ELSE 0 END) <= 0.02 THEN 'tolerable' ELSE 'high' END AS verdict FROM entries GROUP BY 1",

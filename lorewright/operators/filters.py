@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lorewright.functions.text import CJK
 from lorewright.model import LEAST_BODY, MOST_BODY, REVIEW_DAYS
+from lorewright.plans.quantiles import quantiles
 
 FALLBACK = "_unsorted"
 
@@ -112,5 +113,7 @@ def guardrail(queue: DataFrame, most: int = 10) -> DataFrame:
 def length_distribution(entries: DataFrame) -> DataFrame:
     """(kind, p50, p90, p99, rejected, verdict) of body lengths."""
     size = F.length("body")
-    rows = entries.groupBy("kind").agg(*[F.percentile(size, F.lit(p)).alias(f"p{int(p * 100)}") for p in (0.5, 0.9, 0.99)], F.avg(F.when(size < LEAST_BODY, 1.0).otherwise(0.0)).alias("rejected"))
+    shares = entries.groupBy("kind").agg(F.avg(F.when(size < LEAST_BODY, 1.0).otherwise(0.0)).alias("rejected"))
+    spread = quantiles(entries.select(F.col("kind").alias("group"), size.cast("double").alias("value")), (0.5, 0.9, 0.99)).withColumnRenamed("group", "kind")
+    rows = spread.join(shares, "kind").select("kind", "p50", "p90", "p99", "rejected")
     return rows.withColumn("verdict", F.when(F.col("rejected") == 0, "ok").when(F.col("rejected") <= 0.02, "tolerable").otherwise("high"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorewright.model import EVIDENCE_TYPES
-from lorewright.plans.lineage import cut
+from lorewright.plans.lineage import cut, stored
 
 
 def neighbors(edges: DataFrame, rel_type: str | None = None, direction: str = "both", entries: DataFrame | None = None) -> DataFrame:
@@ -37,15 +37,32 @@ def related(edges: DataFrame, entries: DataFrame, seeds: DataFrame, depth: int)
 
 def reachable_sources(entries: DataFrame, edges: DataFrame, hops: int = 9) -> DataFrame:
     """(id, source): the sources that each entry's evidence edges lead to in at most hops steps. A walk stops at a source; an
-    entry that is one reaches itself. Each round joins only the frontier and stops when that is empty."""
+    entry that is one reaches itself.
+
+    Sources go backwards: in each round what has newly met a source hands it to the entries whose evidence it is, so only
+    pairs that are answers are ever made, each once, and an edge carries each source once."""
+    kinds = entries.select("id", (F.col("kind") == "source").alias("is_source"))
+    step = edges.where(F.col("type").isin(*EVIDENCE_TYPES)).select(F.col("source_id").alias("id"), F.col("target_id").alias("node")).distinct()
+    step = cut(step.join(kinds.where("not is_source").select("id"), "id", "left_semi").repartition("node"))
+    seen = frontier = cut(kinds.where("is_source").select("id", F.col("id").alias("source")))
+    for _ in range(hops):
+        handed = step.join(frontier.withColumnRenamed("id", "node"), "node").select("id", "source").distinct()
+        frontier = cut(handed.join(seen, ["id", "source"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionAll(frontier)
+    return seen
+
+
+def sources_of(asked: DataFrame, entries: DataFrame, edges: DataFrame, hops: int = 9) -> DataFrame:
+    """reachable_sources of the entries asked (id) alone: their walks forwards, which read the edges of what they meet."""
     kinds = entries.select("id", (F.col("kind") == "source").alias("is_source"))
     step = edges.where(F.col("type").isin(*EVIDENCE_TYPES)).select(F.col("source_id").alias("node"), F.col("target_id").alias("next")).distinct()
-    step = cut(step.join(kinds.withColumnRenamed("id", "next"), "next"))
-    frontier = cut(kinds.select("id", F.col("id").alias("node"), "is_source"))
-    seen = frontier
+    ends = kinds.select(F.col("id").alias("node"), "is_source")
+    seen = frontier = cut(kinds.join(asked, "id", "left_semi").select("id", F.col("id").alias("node"), "is_source"))
     for _ in range(hops):
-        walked = frontier.where("not is_source").join(step.withColumnRenamed("is_source", "ends"), "node").select("id", F.col("next").alias("node"), F.col("ends").alias("is_source")).distinct()
-        frontier = cut(walked.join(seen, ["id", "node"], "left_anti"))
+        walked = frontier.where("not is_source").join(step, "node").select("id", F.col("next").alias("node")).distinct()
+        frontier = cut(walked.join(seen, ["id", "node"], "left_anti").join(ends, "node").select("id", "node", "is_source"))
         if frontier.isEmpty():
             break
         seen = seen.unionAll(frontier)
@@ -76,25 +93,98 @@ def pagerank(entries: DataFrame, edges: DataFrame, iterations: int = 100, dampin
     return ranks.select("id", "rank")
 
 
-def cycle_members(edges: DataFrame, rel_type: str = "supersedes", rounds: int = 30) -> DataFrame:
-    """(id) of nodes on a cycle of two nodes or more. Nodes without a way in or out are trimmed until none is left; what
-    stays (cycles and what lies between) is closed by doubling paths."""
-    arcs = cut(edges.where((F.col("type") == rel_type) & (F.col("source_id") != F.col("target_id"))).select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).distinct())
-    before = -1
-    while (now := arcs.count()) != before:
-        before = now
-        arcs = cut(arcs.join(arcs.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(arcs.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
-    paths, before = arcs, before
+def cycle_members(edges: DataFrame, rel_type: str = "supersedes", rounds: int = 60) -> DataFrame:
+    """(id) of nodes on a cycle of two nodes or more."""
+    return strong_components(edges.where(F.col("type") == rel_type).select(F.col("source_id").alias("a"), F.col("target_id").alias("b")), rounds).select("id")
+
+
+def strong_components(arcs: DataFrame, rounds: int = 60) -> DataFrame:
+    """(id, component) of the nodes of strongly connected components of two nodes or more in arcs (a, b); loops count nothing.
+
+    Nodes without a way in or out are trimmed and paths of nodes with one way each are contracted to an arc, in turns, so
+    long chains and cycles go in a number of rounds that grows with their logarithm. What is left is coloured: the largest
+    id that leads to a node is its colour, and nodes of a colour that lead to that id are a component. At last a path's nodes
+    are in the component that both its ends are in. Tables stay as large as the arcs."""
+    arcs = cut(arcs.where("a <> b").distinct())
+    spark = arcs.sparkSession
+    kept, paths = spark.createDataFrame([], "id string, component string"), []
+    before = None
     for _ in range(rounds):
-        longer = paths.join(paths.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
-        paths = cut(paths.unionAll(longer).distinct())
-        now = paths.count()
-        if now == before:
+        now = arcs.count()
+        if now in (0, before):
             break
         before = now
+        arcs = cut(arcs.join(arcs.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(arcs.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
+        arcs, inner, rings = _contracted(arcs)
+        paths.append(inner)
+        kept = kept.unionByName(rings)
     else:
         raise RuntimeError(f"cycles did not settle in {rounds} rounds")
-    return paths.where("a = b").select(F.col("a").alias("id")).distinct()
+    kept = stored(kept.unionByName(_coloured(arcs, rounds)).distinct())
+    for inner in reversed(paths):
+        looped = inner.where("head = tail").select(F.col("head").alias("id")).distinct().join(kept, "id", "left_anti").select("id", F.col("id").alias("component"))
+        kept = kept.unionByName(looped)
+        ends = inner.join(kept.select(F.col("id").alias("head"), "component"), "head").join(kept.select(F.col("id").alias("tail"), F.col("component").alias("other")), "tail")
+        kept = stored(kept.unionByName(ends.where("component = other").select("id", "component")).distinct())
+    return kept
+
+
+def _contracted(arcs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(arcs, inner, rings): each maximal path of nodes with one way in and one out is an arc from head to tail; inner (id, head, tail)
+    has its nodes. Nodes on rings of such nodes alone are rings (id, component). Pointers double, so a path of n nodes takes
+    log2(n) rounds."""
+    into = arcs.groupBy(F.col("b").alias("id")).agg(F.count("*").alias("n"), F.min("a").alias("prev")).where("n = 1").drop("n")
+    out = arcs.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n"), F.min("b").alias("next")).where("n = 1").drop("n")
+    through = cut(into.join(out, "id"))
+    total = through.count()
+    names = through.select("id").withColumn("inner", F.lit(True))
+    mark = lambda rows, c: rows.join(names.withColumnRenamed("id", c).withColumnRenamed("inner", f"{c}_open"), c, "left").withColumn(f"{c}_open", F.coalesce(f"{c}_open", F.lit(False)))
+    jumps = cut(mark(mark(through, "next"), "prev").withColumn("least", F.col("id")))
+    for _ in range(max(total, 1).bit_length() if total else 0):
+        if jumps.where("next_open or prev_open").isEmpty():
+            break
+        there = jumps.select(F.col("id").alias("next"), F.col("next").alias("next2"), F.col("next_open").alias("open2"), F.col("least").alias("least2"))
+        back = jumps.select(F.col("id").alias("prev"), F.col("prev").alias("prev2"), F.col("prev_open").alias("open3"))
+        moved = jumps.join(there, "next", "left").join(back, "prev", "left")
+        jumps = cut(moved.select("id", F.coalesce("next2", "next").alias("next"), F.coalesce("open2", "next_open").alias("next_open"), F.coalesce("prev2", "prev").alias("prev"),
+                                 F.coalesce("open3", "prev_open").alias("prev_open"), F.least("least", F.coalesce("least2", "least")).alias("least")))
+    inner = jumps.where("not next_open").select("id", F.col("prev").alias("head"), F.col("next").alias("tail"))
+    names = names.select("id")
+    rest = arcs.join(names.withColumnRenamed("id", "a"), "a", "left_anti").join(names.withColumnRenamed("id", "b"), "b", "left_anti")
+    joined = rest.select("a", "b").unionAll(inner.where("head <> tail").select(F.col("head").alias("a"), F.col("tail").alias("b"))).distinct()
+    return cut(joined), inner, jumps.where("next_open").select("id", F.col("least").alias("component"))
+
+
+def _coloured(arcs: DataFrame, rounds: int) -> DataFrame:
+    """(id, component) of strongly connected components of two nodes or more."""
+    out = arcs.sparkSession.createDataFrame([], "id string, component string")
+    for _ in range(rounds):
+        if arcs.isEmpty():
+            return out
+        colours = cut(arcs.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("colour", F.col("id")))
+        for _ in range(rounds):
+            given = arcs.join(colours.select(F.col("id").alias("a"), "colour"), "a").groupBy(F.col("b").alias("id")).agg(F.max("colour").alias("given"))
+            moved = cut(colours.join(given, "id", "left").select("id", F.greatest("colour", F.coalesce("given", "colour")).alias("colour"), F.coalesce(F.col("given") > F.col("colour"), F.lit(False)).alias("moved")))
+            colours = moved.select("id", "colour")
+            if moved.where("moved").isEmpty():
+                break
+        else:
+            raise RuntimeError(f"colours did not settle in {rounds} rounds")
+        alike = arcs.join(colours.select(F.col("id").alias("a"), "colour"), "a").join(colours.select(F.col("id").alias("b"), F.col("colour").alias("other")), "b").where("colour = other").select("a", "b")
+        met = frontier = cut(colours.where("id = colour").select("id"))
+        for _ in range(rounds):
+            frontier = cut(alike.join(frontier.withColumnRenamed("id", "b"), "b", "left_semi").select(F.col("a").alias("id")).distinct().join(met, "id", "left_anti"))
+            if frontier.isEmpty():
+                break
+            met = met.unionAll(frontier)
+        else:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
+        found = cut(colours.join(met, "id", "left_semi").select("id", F.col("colour").alias("component")))
+        whole = found.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+        out = out.unionByName(found.join(whole, "component", "left_semi").select("id", "component"))
+        gone = found.select("id")
+        arcs = cut(arcs.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b"))
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def degrees(entries: DataFrame, edges: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -17,3 +18,14 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="lorewright-"))
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as a table written to spark.checkpoint.dir and read again. Unlike a checkpoint's, its plan keeps no sizes or constraints of
+    what made it, which loops whose result meets itself would multiply from round to round."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        cut(df.limit(0))  # sets the folder
+    path = f"{context.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
