@@ -146,8 +146,8 @@ def _contracted(arcs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         there = jumps.select(F.col("id").alias("next"), F.col("next").alias("next2"), F.col("next_open").alias("open2"), F.col("least").alias("least2"))
         back = jumps.select(F.col("id").alias("prev"), F.col("prev").alias("prev2"), F.col("prev_open").alias("open3"))
         moved = jumps.join(there, "next", "left").join(back, "prev", "left")
-        jumps = cut(moved.select("id", F.coalesce("next2", "next").alias("next"), F.coalesce("open2", "next_open").alias("next_open"), F.coalesce("prev2", "prev").alias("prev"),
-                                 F.coalesce("open3", "prev_open").alias("prev_open"), F.least("least", F.coalesce("least2", "least")).alias("least")))
+        jumps = stored(moved.select("id", F.coalesce("next2", "next").alias("next"), F.coalesce("open2", "next_open").alias("next_open"), F.coalesce("prev2", "prev").alias("prev"),
+                                    F.coalesce("open3", "prev_open").alias("prev_open"), F.least("least", F.coalesce("least2", "least")).alias("least")))
     inner = jumps.where("not next_open").select("id", F.col("prev").alias("head"), F.col("next").alias("tail"))
     names = names.select("id")
     rest = arcs.join(names.withColumnRenamed("id", "a"), "a", "left_anti").join(names.withColumnRenamed("id", "b"), "b", "left_anti")
