@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+#: Names as the files have them (fixed values).
 KINDS = ("source", "note", "dossier", "concept", "decision", "view")
 STATUSES = ("draft", "active", "authoritative", "legacy", "deprecated", "archived")
 FRESHNESS = ("stable", "watch", "volatile")
 RELATION_TYPES = ("derived_from", "related", "supersedes", "applied_in", "evidence_for", "part_of", "contradicts", "depends_on", "source_refs", "evidence_refs", "superseded_by")
 ORIGINS = ("confirmed", "ai_suggested", "ai_confirmed")
 SEVERITIES = ("low", "warning", "medium", "high")
-#: Days between reviews by freshness.
+#: Days between reviews by freshness (fixed values).
 REVIEW_DAYS = {"stable": 180, "watch": 30, "volatile": 7}
-#: Edges that lead to evidence.
+#: Edges that lead to evidence (fixed values).
 EVIDENCE_TYPES = ("source_refs", "evidence_refs", "derived_from")
-#: Bodies are at least so many characters (sources excepted) and at most so many bytes.
+#: Bodies are at least so many characters (sources excepted) and at most so many bytes (fixed values).
 LEAST_BODY, MOST_BODY = 50, 40960
 CHAIN = ("note", "concept", "decision", "dossier")
 
