@@ -10,7 +10,7 @@ from contextlib import contextmanager
 from datetime import UTC, date, datetime, timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorewright.errors import BodyTooLong, BodyTooShort, ConflictError, NotFoundError, ValidationError
@@ -36,6 +36,8 @@ CHANNELS = {"high": "push", "medium": "digest", "warning": "log", "low": "log"}
 #: Mutations that `apply` takes, and the tables that they change.
 MUTATIONS = ("ingest", "update", "touch", "delete", "rename", "link", "unlink", "promote", "add_domain", "migrate_domain")
 _CHANGED = {"entries": ENTRY_SCHEMA, "domains": DOMAIN_SCHEMA, "unindexed": "id string"}
+#: Messages that a queue item's details spell out.
+MESSAGES = 20
 POLICIES = ("strict", "merge_suggest", "allow")
 
 
@@ -192,7 +194,7 @@ class KnowledgeBase:
         if entry["kind"] == "source" and not str(entry.get("source_url")).startswith(("http://", "https://", "knowledge://")):
             raise ValidationError("source_url")
         row = self._frame([entry])
-        problems = [r.problem for r in filters.search_terms_problems(row).select("problem").collect() if r.problem != "no_cjk"]
+        problems = [r.problem for r in checks.term_problems(row).select("problem").collect()]  # of one entry
         if problems:
             raise ValidationError(f"search_terms: {', '.join(problems)}")
         slug = row.select(text.slug(F.lit(entry["title"])).alias("s")).first().s
@@ -334,9 +336,12 @@ class KnowledgeBase:
             raise ValidationError("the slug of this kind is stable; rename it")
         if "domain" in changes and changes["domain"] != entry["domain"]:
             raise ValidationError("domains change by migration")
+        before = entry["status"]
         entry = self._checked(entry | changes | {"updated_at": self.today})
         self._references(entry)
         self._put([entry])
+        if entry["status"] != before:
+            logs.status_transition(self.spark, self.root, entry_id, before, entry["status"], datetime.now(UTC).isoformat(timespec="seconds"))
         return entry
 
     def touch(self, entry_id: str) -> dict:
@@ -505,19 +510,32 @@ class KnowledgeBase:
 
     # --- queue
     def enqueue(self, findings: DataFrame, origin: str = "diagnose", agent_id: str | None = None) -> None:
-        """Queue findings that are not low; a pending one of the same rule and entry is kept, with the new message."""
+        """Queue findings that are not low. Those of one rule, entry, origin, proposed operation and payload are one item: its details
+        hold how many messages there are and the first MESSAGES of them, with those of a pending item that is there already,
+        which keeps its id, message and age."""
         now = F.lit(datetime.now(UTC).replace(tzinfo=None)).cast("timestamp")
         channel = F.coalesce(*[F.when(F.col("severity") == k, v) for k, v in CHANNELS.items()])
-        new = findings.where("severity <> 'low'").select(
-            F.concat(F.lit("mq_"), F.substring(F.sha2(F.concat_ws("|", "rule_id", "target_id", F.lit(origin), F.lit(ulid())), 256), 1, 26)).alias("id"), "rule_id", "severity", F.col("target_id").alias("entry_id"), channel.alias("channel"), F.lit("pending").alias("status"),
-            "message", F.to_json(F.struct("message")).alias("details_json"), F.lit(origin).alias("origin"), F.lit(None).cast("string").alias("proposed_op"), F.lit(None).cast("string").alias("proposed_payload_json"), F.lit(agent_id).cast("string").alias("agent_id"), now.alias("created_at"), now.alias("updated_at"),
+        own = lambda c: F.col(c) if c in findings.columns else F.lit(None).cast("string").alias(c)
+        new = findings.where("severity <> 'low'").select("rule_id", "severity", F.col("target_id").alias("entry_id"), own("proposed_op"), own("proposed_payload_json"), F.lit(origin).alias("origin"), "message")
+        part = [F.coalesce(c, F.lit("")).alias(f"k_{c}") for c in ("rule_id", "entry_id", "origin", "proposed_op", "proposed_payload_json")]
+        key = ["k_rule_id", "k_entry_id", "k_origin", "k_proposed_op", "k_proposed_payload_json"]
+        held = self.queue().where("status = 'pending'").select("*", *part)
+        said = F.from_json("details_json", "messages array<string>, n long")["messages"]
+        old = held.select(*key, F.explode(F.coalesce(said, F.array("message"))).alias("message")).select(*key, "message")
+        messages = new.select(*part, "message").unionByName(old.join(new.select(*part).distinct(), key, "left_semi")).where("message is not null").distinct()
+        place = F.row_number().over(Window.partitionBy(*key).orderBy("message"))
+        listed = messages.withColumn("place", place).groupBy(*key).agg(
+            F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("place") <= MESSAGES, F.col("message")))).alias("messages")
         )
-        new = new.dropDuplicates(["id"])
-        old = self.queue().where("status = 'pending'").select("rule_id", "entry_id", "origin", F.col("id").alias("held"), F.col("created_at").alias("first"))
-        old = old.groupBy("rule_id", "entry_id", "origin").agg(F.min("held").alias("held"), F.min("first").alias("first"))
-        merged = new.join(old, ["rule_id", "entry_id", "origin"], "left")
-        merged = merged.withColumn("id", F.coalesce("held", "id")).withColumn("created_at", F.coalesce("first", "created_at")).drop("held", "first")
-        self.tables.merge("queue", QUEUE_SCHEMA, merged, ["id"])
+        items = new.select("*", *part).groupBy(*key).agg(*[F.min(c).alias(c) for c in new.columns])
+        first = held.groupBy(*key).agg(F.min("id").alias("held"), F.min("created_at").alias("first"), F.min_by("message", "id").alias("was"))
+        fresh = F.concat(F.lit("mq_"), F.substring(F.sha2(F.concat_ws("|", *key, F.lit(ulid())), 256), 1, 26))
+        rows = items.join(first, key, "left").join(listed, key, "left").select(
+            F.coalesce("held", fresh).alias("id"), "rule_id", "severity", "entry_id", channel.alias("channel"), F.lit("pending").alias("status"), F.coalesce("was", "message").alias("message"),
+            F.to_json(F.struct("messages", "n")).alias("details_json"), "origin", "proposed_op", "proposed_payload_json", F.lit(agent_id).cast("string").alias("agent_id"),
+            F.coalesce("first", now).alias("created_at"), now.alias("updated_at"),
+        )
+        self.tables.merge("queue", QUEUE_SCHEMA, rows, ["id"])
 
     def transition(self, queue_id: str, status: str) -> None:
         """pending to sent, and either to resolved or dismissed; anything else raises."""

@@ -276,9 +276,14 @@ _add("backlinks", lambda t: analytics.backlinks(t.edges), "edges", "SELECT targe
 _add("promotion_chain_links", lambda t: analytics.chain_links(t.entries, t.edges, CHAIN), "entries edges", ", p AS (SELECT id, CASE kind WHEN 'note' THEN 1 WHEN 'concept' THEN 2 WHEN 'decision' THEN 3 WHEN 'dossier' THEN 4 END AS p FROM entries) SELECT source_id, target_id, a.p AS from_place, b.p AS to_place FROM edges JOIN p a ON a.id = source_id JOIN p b ON b.id = target_id WHERE type = 'derived_from' AND a.p IS NOT NULL AND b.p IS NOT NULL")
 _add("alias_holders", lambda t: rules.alias_holders(t.entries), "entries", ", h AS (SELECT DISTINCT id, unnest(aliases) AS alias FROM entries WHERE status <> 'archived'), f AS (SELECT alias, min(id) AS representative FROM h GROUP BY 1 HAVING count(*) > 1) SELECT alias, representative, id AS member FROM h JOIN f USING (alias)")
 _add("semantic_candidates", lambda t: _round(rules.semantic_candidates(t.read("embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("kind"), "embedding"), t.read("embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("id")), 0.1), "similarity"), "", f"WITH {_VECTORS} SELECT id, candidate, round(s, 6) AS similarity FROM (SELECT a.vec_id AS id, b.vec_id AS candidate, list_cosine_similarity(a.e, b.e) AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.e, b.e) DESC, b.vec_id) AS place FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.vec_id % 20 = 0 WHERE list_cosine_similarity(a.e, b.e) >= 0.1) WHERE place <= 10")
-_rule("missing_relation_hint", "medium", lambda t: rules.missing_relation_hint(t.entries, t.edges, most=50), _EV, "own AS (SELECT id, unnest(search_terms) AS term, tags FROM entries WHERE kind <> 'source' AND status <> 'archived'), c AS (SELECT term FROM own GROUP BY 1 HAVING count(*) BETWEEN 2 AND 50), pairs AS (SELECT DISTINCT a.id, b.id AS other FROM own a JOIN c USING (term) JOIN own b USING (term) WHERE a.id <> b.id AND list_has_any(a.tags, b.tags))", "SELECT id, count(*) AS n FROM pairs WHERE (id, other) NOT IN (SELECT source_id, target_id FROM edges UNION SELECT target_id, source_id FROM edges) GROUP BY 1 HAVING count(*) >= 2", "CAST(x.n AS VARCHAR)")
-#: Terms of any number of holders; the SQL above leaves out those of more than 50.
-_add("rule_missing_relation_hint", lambda t: rules.missing_relation_hint(t.entries, t.edges), _EV)
+_rule(
+    "missing_relation_hint", "medium", lambda t: rules.missing_relation_hint(t.entries, t.edges), _EV,
+    """own AS MATERIALIZED (SELECT id, search_terms, [x FOR x IN tags IF x IS NOT NULL] AS tags FROM entries WHERE kind <> 'source' AND status <> 'archived'),
+    held AS MATERIALIZED (SELECT DISTINCT id, unnest(search_terms) AS term FROM own), met AS MATERIALIZED (SELECT DISTINCT a.id, b.id AS other FROM held a JOIN held b USING (term) WHERE a.id <> b.id),
+    linked AS MATERIALIZED (SELECT source_id AS id, target_id AS other FROM edges UNION SELECT target_id, source_id FROM edges),
+    pairs AS (SELECT m.id, m.other FROM met m JOIN own a ON a.id = m.id JOIN own b ON b.id = m.other WHERE list_has_any(a.tags, b.tags) AND NOT EXISTS (SELECT 1 FROM linked l WHERE l.id = m.id AND l.other = m.other))""",
+    "SELECT id, count(*) AS n FROM pairs GROUP BY 1 HAVING count(*) >= 2", "CAST(x.n AS VARCHAR)",
+)
 
 # --- retrieval quality
 _RESULTS = "results AS (SELECT label AS query, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) AS INTEGER) AS place, vec_id AS id FROM embeddings), grades AS (SELECT label AS query, vec_id AS id, CAST(vec_id % 4 AS INTEGER) AS grade FROM embeddings WHERE vec_id % 3 = 0)"

@@ -161,15 +161,6 @@ def term_near_duplicates(entries: DataFrame, most: int = 500, distance: int = 2,
     return met.withColumn("distance", F.levenshtein("left_term", "right_term", distance)).where("distance >= 0").select("left_term", "right_term", "distance")
 
 
-def alias_overlap(entries: DataFrame) -> DataFrame:
-    """(left_id, right_id, shared) of entries that hold one alias in common; an alias of very many holders links each of them
-    to its first holder, which is as telling and not quadratic."""
-    held = entries.where("status <> 'archived'").select("id", F.explode(F.array_distinct("aliases")).alias("alias"))
-    first = held.groupBy("alias").agg(F.min("id").alias("left_id"), F.count("*").alias("n")).where("n > 1")
-    met = held.join(first, "alias").where("left_id < id")
-    return met.groupBy("left_id", F.col("id").alias("right_id")).agg(F.count("*").alias("shared"))
-
-
 def alias_holders(entries: DataFrame) -> DataFrame:
     """(alias, representative, member): each holder of an alias that several entries hold, beside its smallest one. Any two
     members of an alias overlap, and two entries' shared count is the number of aliases of which both are members."""
@@ -195,9 +186,8 @@ def _subsets(column: str) -> Column:
     return F.filter(F.aggregate(column, empty, lambda done, x: F.concat(done, F.transform(done, lambda s: F.array_append(s, x)))), lambda s: F.size(s) > 0)
 
 
-def missing_relation_hint(entries: DataFrame, edges: DataFrame, least: int = 2, most: int | None = None, meet: int = 50, wide: int = 10) -> DataFrame:
+def missing_relation_hint(entries: DataFrame, edges: DataFrame, least: int = 2, meet: int = 50, wide: int = 10) -> DataFrame:
     """Entries of which at least `least` others share a tag and a search term without a relation; the message counts them.
-    With most, terms of more holders hint at nothing, as the registered query's SQL has it.
 
     Others by terms of up to `meet` holders are met one by one. Those by a more frequent (hot) term are counted and not met:
     entries of equal hot terms and tags are a class, and by inclusion and exclusion over the subsets of both a class's count
@@ -205,7 +195,7 @@ def missing_relation_hint(entries: DataFrame, edges: DataFrame, least: int = 2,
     whole = lambda c: F.sort_array(F.array_distinct(F.filter(c, lambda x: x.isNotNull())))
     own = entries.where("kind <> 'source' and status <> 'archived'").select("id", whole("search_terms").alias("terms"), whole("tags").alias("tags"))
     posted = own.select("id", F.explode("terms").alias("term"))
-    counts = posted.groupBy("term").agg(F.count("*").alias("n")).where("n > 1" if most is None else f"n between 2 and {most}")
+    counts = posted.groupBy("term").agg(F.count("*").alias("n")).where("n > 1")
     posted = posted.join(counts.select("term", (F.col("n") > meet).alias("is_hot")), "term")
     facts = posted.groupBy("id").agg(F.sort_array(F.collect_list(F.when(F.col("is_hot"), F.col("term")))).alias("hot")).join(own.select("id", "tags"), "id")
     facts = facts.withColumn("narrow", F.size("hot") + F.size("tags") <= wide).where(F.size("tags") > 0)
