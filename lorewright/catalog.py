@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lorewright import more_queries, search_queries
 from lorewright.functions import text
 from lorewright.model import CHAIN
-from lorewright.operators import analytics, filters, graph, metrics, rules, search
+from lorewright.operators import analytics, filters, graph, metrics, rules, search, titles
 from lorewright.sources import views
 from lorewright.sources.views import AS_OF
 
@@ -303,6 +303,14 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _QUERIES["search_fused"].run(Tables(spark, sf_dir))
 
 
+# --- near titles; DuckDB counts bytes, so both sides spell other than ASCII as '?', and cut titles short, so that some are near
+_ASCII_TITLES = "plain AS (SELECT kind, title, min(id) AS id FROM (SELECT id, kind, left(regexp_replace(title, '[^\\x00-\\x7F]', '?', 'g'), 8) || n % 7 AS title FROM entries) WHERE kind <> 'source' AND title <> '' GROUP BY 1, 2)"
+_add("duplicate_candidates", lambda t: titles.duplicate_candidates(t.entries), "entries")
+_add("title_members", lambda t: titles.members(t.entries), "entries", "SELECT id, first AS representative FROM (SELECT id, min(id) OVER (PARTITION BY kind, title) AS first, count(*) OVER (PARTITION BY kind, title) AS n FROM entries WHERE kind <> 'source' AND title <> '') WHERE n > 1")
+_add(
+    "near_titles_by_edits", lambda t: titles.near_titles(t.entries.withColumn("title", F.concat(F.substring(F.regexp_replace("title", "[^\\x00-\\x7F]", "?"), 1, 8), F.col("n") % 7))).where("edits is not null").select("kind", "left_id", "right_id", "edits"), "entries",
+    f", {_ASCII_TITLES} SELECT a.kind, a.id AS left_id, b.id AS right_id, CAST(levenshtein(a.title, b.title) AS INTEGER) AS edits FROM plain a JOIN plain b ON a.kind = b.kind AND a.id < b.id AND a.title <> b.title WHERE levenshtein(a.title, b.title) <= 2 AND greatest(length(a.title), length(b.title)) >= 4",
+)
 more_queries.register(_add, _round)
 search_queries.register(_add, _round, _AUTHORITY)
 
