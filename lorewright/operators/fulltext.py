@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorewright.functions import segment
-from lorewright.plans.lineage import cut
+from lorewright.plans.lineage import stored
 
 #: Fields of each index, and their weights as they take effect (fixed values).
 WEIGHTS = {
@@ -192,8 +192,9 @@ def occurrences(index: Index, text: str) -> DataFrame:
 
 
 def built(entries: DataFrame, more: DataFrame | None = None, which: Iterable[str] = tuple(WEIGHTS)) -> Index:
-    """An index for this run alone, of those kinds that it asks; the postings are worked out once and kept in spark.checkpoint.dir."""
+    """An index for this run alone, of those kinds that it asks; the postings are worked out once and kept as a table in
+    spark.checkpoint.dir, of which a query reads the terms that it asks."""
     known = segment.dictionary(entries, more) if "cn" in which else segment.Dictionary(entries.select("id"), 0, 0, 1)
-    rows = cut(postings(entries, known, which))
-    lengths = cut(sizes(rows))
+    rows = stored(postings(entries, known, which))
+    lengths = stored(sizes(rows))
     return Index(rows, lengths, totals(lengths, entries.count()), None, known)
