@@ -164,7 +164,7 @@ def _coloured(arcs: DataFrame, rounds: int) -> DataFrame:
         colours = cut(arcs.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("colour", F.col("id")))
         for _ in range(rounds):
             given = arcs.join(colours.select(F.col("id").alias("a"), "colour"), "a").groupBy(F.col("b").alias("id")).agg(F.max("colour").alias("given"))
-            moved = cut(colours.join(given, "id", "left").select("id", F.greatest("colour", F.coalesce("given", "colour")).alias("colour"), F.coalesce(F.col("given") > F.col("colour"), F.lit(False)).alias("moved")))
+            moved = stored(colours.join(given, "id", "left").select("id", F.greatest("colour", F.coalesce("given", "colour")).alias("colour"), F.coalesce(F.col("given") > F.col("colour"), F.lit(False)).alias("moved")))
             colours = moved.select("id", "colour")
             if moved.where("moved").isEmpty():
                 break
