@@ -93,6 +93,10 @@ def pagerank(entries: DataFrame, edges: DataFrame, iterations: int = 100, dampin
     return ranks.select("id", "rank")
 
 
+#: Layers trimmed between contractions of paths.
+TRIMS = 8
+
+
 def cycle_members(edges: DataFrame, rel_type: str = "supersedes", rounds: int = 60) -> DataFrame:
     """(id) of nodes on a cycle of two nodes or more."""
     return strong_components(edges.where(F.col("type") == rel_type).select(F.col("source_id").alias("a"), F.col("target_id").alias("b")), rounds).select("id")
@@ -114,7 +118,11 @@ def strong_components(arcs: DataFrame, rounds: int = 60) -> DataFrame:
         if now in (0, before):
             break
         before = now
-        arcs = cut(arcs.join(arcs.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(arcs.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
+        for _ in range(TRIMS):
+            left = cut(arcs.join(arcs.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(arcs.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
+            had, now, arcs = now, left.count(), left
+            if now in (0, had):
+                break
         arcs, inner, rings = _contracted(arcs)
         paths.append(inner)
         kept = kept.unionByName(rings)
