@@ -147,7 +147,7 @@ def _contracted(arcs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     total = through.count()
     names = through.select("id").withColumn("inner", F.lit(True))
     mark = lambda rows, c: rows.join(names.withColumnRenamed("id", c).withColumnRenamed("inner", f"{c}_open"), c, "left").withColumn(f"{c}_open", F.coalesce(f"{c}_open", F.lit(False)))
-    jumps = cut(mark(mark(through, "next"), "prev").withColumn("least", F.col("id")))
+    jumps = stored(mark(mark(through, "next"), "prev").withColumn("least", F.col("id")))
     for _ in range(max(total, 1).bit_length() if total else 0):
         if jumps.where("next_open or prev_open").isEmpty():
             break
@@ -160,7 +160,7 @@ def _contracted(arcs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     names = names.select("id")
     rest = arcs.join(names.withColumnRenamed("id", "a"), "a", "left_anti").join(names.withColumnRenamed("id", "b"), "b", "left_anti")
     joined = rest.select("a", "b").unionAll(inner.where("head <> tail").select(F.col("head").alias("a"), F.col("tail").alias("b"))).distinct()
-    return cut(joined), inner, jumps.where("next_open").select("id", F.col("least").alias("component"))
+    return stored(joined), inner, jumps.where("next_open").select("id", F.col("least").alias("component"))
 
 
 def _coloured(arcs: DataFrame, rounds: int) -> DataFrame:
