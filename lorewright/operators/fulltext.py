@@ -29,6 +29,8 @@ WEIGHTS = {
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: ASCII letters, digits and the signs that stay within words (fixed values).
 WORD = re.compile(r"[0-9A-Za-z+\-./#$%^&*_=]+")
+#: Fields whose postings a worker holds at once.
+ROWS = 256
 POSTINGS = "index string, term string, id string, field string, positions array<int>"
 SIZES = "index string, id string, length long"
 TOTALS = "index string, docs long, tokens long"
@@ -73,11 +75,17 @@ def _placed(rows: Iterator[tuple[str, str, str, list[str]]]) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["index", "term", "id", "field", "positions"])
 
 
+def _pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for a in range(0, len(frame), ROWS):
+            yield frame.iloc[a : a + ROWS]
+
+
 def _letters(which: list[str]):
     cuts = [(w, {"en": en_tokens, "tri": trigrams}[w]) for w in which]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in _pieces(frames):
             rows = list(zip(frame["id"], frame["field"], frame["text"], strict=True))
             yield _placed((index, i, f, cut(t)) for i, f, t in rows for index, cut in cuts if f in WEIGHTS[index])
 
@@ -85,7 +93,7 @@ def _letters(which: list[str]):
 
 
 def _words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
+    for frame in _pieces(frames):
         yield _placed(("cn", i, f, t) for i, f, t in zip(frame["id"], frame["field"], frame["tokens"], strict=True))
 
 
