@@ -93,106 +93,113 @@ def pagerank(entries: DataFrame, edges: DataFrame, iterations: int = 100, dampin
     return ranks.select("id", "rank")
 
 
-#: Layers trimmed between contractions of paths.
-TRIMS = 8
+#: Layers trimmed between contractions of trees.
+TRIMS = 4
 
 
-def cycle_members(edges: DataFrame, rel_type: str = "supersedes", rounds: int = 60) -> DataFrame:
+def cycle_members(edges: DataFrame, rel_type: str = "supersedes") -> DataFrame:
     """(id) of nodes on a cycle of two nodes or more."""
-    return strong_components(edges.where(F.col("type") == rel_type).select(F.col("source_id").alias("a"), F.col("target_id").alias("b")), rounds).select("id")
+    return strong_components(edges.where(F.col("type") == rel_type).select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))).select("id")
 
 
-def strong_components(arcs: DataFrame, rounds: int = 60) -> DataFrame:
+def strong_components(arcs: DataFrame) -> DataFrame:
     """(id, component) of the nodes of strongly connected components of two nodes or more in arcs (a, b); loops count nothing.
 
-    Nodes without a way in or out are trimmed and paths of nodes with one way each are contracted to an arc, in turns, so
-    long chains and cycles go in a number of rounds that grows with their logarithm. What is left is coloured: the largest
-    id that leads to a node is its colour, and nodes of a colour that lead to that id are a component. At last a path's nodes
-    are in the component that both its ends are in. Tables stay as large as the arcs."""
-    arcs = cut(arcs.where("a <> b").distinct())
-    spark = arcs.sparkSession
-    kept, paths = spark.createDataFrame([], "id string, component string"), []
-    before = None
-    for _ in range(rounds):
-        now = arcs.count()
-        if now in (0, before):
-            break
+    A node with one way in is on a cycle only together with the node it comes from. These ways make trees, and each is contracted
+    to its root; then the same is done with the only ways out, and nodes without a way in or out are trimmed, in turns while
+    arcs go. So long chains, rings and chains of small cycles go in few rounds. What is left is coloured: the largest id that leads to
+    a node is its colour, and nodes of a colour that lead to that id are a component. At last trees are opened in reverse order.
+    Tables stay as large as the arcs, and as the nodes times the logarithm of a tree's depth."""
+    arcs = stored(arcs.where("a <> b").select("a", "b").distinct())
+    trees, before = [], None
+    while (now := arcs.count()) not in (0, before):
         before = now
         for _ in range(TRIMS):
-            left = cut(arcs.join(arcs.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(arcs.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
+            left = stored(arcs.join(arcs.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(arcs.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
             had, now, arcs = now, left.count(), left
             if now in (0, had):
                 break
-        arcs, inner, rings = _contracted(arcs)
-        paths.append(inner)
-        kept = kept.unionByName(rings)
-    else:
-        raise RuntimeError(f"cycles did not settle in {rounds} rounds")
-    kept = stored(kept.unionByName(_coloured(arcs, rounds)).distinct())
-    for inner in reversed(paths):
-        looped = inner.where("head = tail").select(F.col("head").alias("id")).distinct().join(kept, "id", "left_anti").select("id", F.col("id").alias("component"))
-        kept = kept.unionByName(looped)
-        ends = inner.join(kept.select(F.col("id").alias("head"), "component"), "head").join(kept.select(F.col("id").alias("tail"), F.col("component").alias("other")), "tail")
-        kept = stored(kept.unionByName(ends.where("component = other").select("id", "component")).distinct())
+        for _ in range(2 if now else 0):
+            arcs, tree = _contracted(arcs)
+            trees += [tree] if tree else []
+            arcs = arcs.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    kept = stored(_coloured(arcs))
+    for ways, steps in reversed(trees):
+        kept = _opened(kept, ways, steps)
     return kept
 
 
-def _contracted(arcs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(arcs, inner, rings): each maximal path of nodes with one way in and one out is an arc from head to tail; inner (id, head, tail)
-    has its nodes. Nodes on rings of such nodes alone are rings (id, component). Pointers double, so a path of n nodes takes
-    log2(n) rounds."""
-    into = arcs.groupBy(F.col("b").alias("id")).agg(F.count("*").alias("n"), F.min("a").alias("prev")).where("n = 1").drop("n")
-    out = arcs.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n"), F.min("b").alias("next")).where("n = 1").drop("n")
-    through = cut(into.join(out, "id"))
-    total = through.count()
-    names = through.select("id").withColumn("inner", F.lit(True))
-    mark = lambda rows, c: rows.join(names.withColumnRenamed("id", c).withColumnRenamed("inner", f"{c}_open"), c, "left").withColumn(f"{c}_open", F.coalesce(f"{c}_open", F.lit(False)))
-    jumps = stored(mark(mark(through, "next"), "prev").withColumn("least", F.col("id")))
-    for _ in range(max(total, 1).bit_length() if total else 0):
-        if jumps.where("next_open or prev_open").isEmpty():
-            break
-        there = jumps.select(F.col("id").alias("next"), F.col("next").alias("next2"), F.col("next_open").alias("open2"), F.col("least").alias("least2"))
-        back = jumps.select(F.col("id").alias("prev"), F.col("prev").alias("prev2"), F.col("prev_open").alias("open3"))
-        moved = jumps.join(there, "next", "left").join(back, "prev", "left")
-        jumps = stored(moved.select("id", F.coalesce("next2", "next").alias("next"), F.coalesce("open2", "next_open").alias("next_open"), F.coalesce("prev2", "prev").alias("prev"),
-                                    F.coalesce("open3", "prev_open").alias("prev_open"), F.least("least", F.coalesce("least2", "least")).alias("least")))
-    inner = jumps.where("not next_open").select("id", F.col("prev").alias("head"), F.col("next").alias("tail"))
-    names = names.select("id")
-    rest = arcs.join(names.withColumnRenamed("id", "a"), "a", "left_anti").join(names.withColumnRenamed("id", "b"), "b", "left_anti")
-    joined = rest.select("a", "b").unionAll(inner.where("head <> tail").select(F.col("head").alias("a"), F.col("tail").alias("b"))).distinct()
-    return stored(joined), inner, jumps.where("next_open").select("id", F.col("least").alias("component"))
-
-
-def _coloured(arcs: DataFrame, rounds: int) -> DataFrame:
+def _contracted(arcs: DataFrame) -> tuple[DataFrame, tuple[DataFrame, list[DataFrame]] | None]:
+    """Arcs with each tree of only ways in contracted to its root; and, where there are any trees, the arcs (a, b, root) that leave a tree's
+    inner nodes for other trees or for the root itself, and the steps up the trees."""
+    up = stored(arcs.groupBy(F.col("b").alias("id")).agg(F.count("*").alias("n"), F.min("a").alias("up")).where("n = 1").select("id", "up"))
+    if up.isEmpty():
+        return arcs, None
+    steps = _steps(up)
+    top = steps[-1].select("id", F.col("up").alias("root"))
+    ways = arcs.join(top.select(F.col("id").alias("b")), "b", "left_anti").join(top.withColumnRenamed("id", "a"), "a", "left")
+    ways = stored(ways.select("a", "b", "root"))
+    joined = stored(ways.select(F.coalesce("root", "a").alias("a"), "b").where("a <> b").distinct())
+    return joined, (ways.where("root is not null"), steps)
+
+
+def _steps(up: DataFrame) -> list[DataFrame]:
+    """(id, up) for 1, 2, 4, ... steps up the ways (id, up), a root at most; the last table has roots alone. Of a ring the smallest node
+    is made a root."""
+    open_ = up.select(F.col("id").alias("up"), F.lit(True).alias("open"))
+    closed = lambda c: F.coalesce(c, F.lit(False)).alias("open")
+    now = stored(up.join(open_, "up", "left").select("id", "up", closed("open"), F.col("id").alias("least")))
+    steps = [now]
+    for _ in range(up.count().bit_length()):
+        if now.where("open").isEmpty():
+            return steps
+        there = now.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("open").alias("open2"), F.col("least").alias("least2"))
+        moved = now.join(there, "up", "left")
+        now = stored(moved.select("id", F.coalesce("up2", "up").alias("up"), closed("open2"), F.least("least", F.coalesce("least2", "least")).alias("least")))
+        steps.append(now)
+    on_rings = now.where("open").select(F.col("up").alias("id")).distinct()
+    heads = now.join(on_rings, "id", "left_semi").select(F.col("least").alias("id")).distinct()
+    return steps if heads.isEmpty() else _steps(stored(up.join(heads, "id", "left_anti")))
+
+
+def _opened(kept: DataFrame, ways: DataFrame, steps: list[DataFrame]) -> DataFrame:
+    """kept (id, component) with the inner nodes of contracted trees: those from which a way leads to the root's component, and all
+    between them and the root."""
+    rings = ways.where("b = root").select(F.col("root").alias("id")).distinct().join(kept, "id", "left_anti").select("id", F.col("id").alias("component"))
+    kept = stored(kept.unionByName(rings))
+    ends = ways.join(kept.withColumnRenamed("id", "root"), "root").join(kept.select(F.col("id").alias("b"), F.col("component").alias("other")), "b")
+    found = stored(ends.where("component = other").select(F.col("a").alias("id"), "component").distinct())
+    if found.isEmpty():
+        return kept
+    for step in steps:
+        found = stored(found.unionByName(found.join(step, "id").select(F.col("up").alias("id"), "component")).distinct())
+    return stored(kept.unionByName(found).distinct())
+
+
+def _coloured(arcs: DataFrame) -> DataFrame:
     """(id, component) of strongly connected components of two nodes or more."""
     out = arcs.sparkSession.createDataFrame([], "id string, component string")
-    for _ in range(rounds):
-        if arcs.isEmpty():
-            return out
+    while not arcs.isEmpty():
         colours = cut(arcs.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("colour", F.col("id")))
-        for _ in range(rounds):
+        while True:
             given = arcs.join(colours.select(F.col("id").alias("a"), "colour"), "a").groupBy(F.col("b").alias("id")).agg(F.max("colour").alias("given"))
             moved = stored(colours.join(given, "id", "left").select("id", F.greatest("colour", F.coalesce("given", "colour")).alias("colour"), F.coalesce(F.col("given") > F.col("colour"), F.lit(False)).alias("moved")))
             colours = moved.select("id", "colour")
             if moved.where("moved").isEmpty():
                 break
-        else:
-            raise RuntimeError(f"colours did not settle in {rounds} rounds")
         alike = arcs.join(colours.select(F.col("id").alias("a"), "colour"), "a").join(colours.select(F.col("id").alias("b"), F.col("colour").alias("other")), "b").where("colour = other").select("a", "b")
         met = frontier = cut(colours.where("id = colour").select("id"))
-        for _ in range(rounds):
+        while True:
             frontier = cut(alike.join(frontier.withColumnRenamed("id", "b"), "b", "left_semi").select(F.col("a").alias("id")).distinct().join(met, "id", "left_anti"))
             if frontier.isEmpty():
                 break
             met = met.unionAll(frontier)
-        else:
-            raise RuntimeError(f"components did not settle in {rounds} rounds")
         found = cut(colours.join(met, "id", "left_semi").select("id", F.col("colour").alias("component")))
         whole = found.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
         out = out.unionByName(found.join(whole, "component", "left_semi").select("id", "component"))
         gone = found.select("id")
         arcs = cut(arcs.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b"))
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    return out
 
 
 def degrees(entries: DataFrame, edges: DataFrame) -> DataFrame:

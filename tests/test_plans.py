@@ -56,6 +56,17 @@ def test_long_chains_and_rings_settle(spark):
     assert got == {f"d{i:05d}": "d00000" for i in range(5000)}
 
 
+def test_chains_of_small_cycles_settle(spark):
+    rnd = random.Random(9)
+    arcs = [(f"n{rnd.randrange(120):03d}", f"n{rnd.randrange(120):03d}") for _ in range(140)]
+    for i in range(0, 600, 2):  # pairs in a chain, some with ways from and to the random part
+        arcs += [(f"p{i:03d}", f"p{i + 1:03d}"), (f"p{i + 1:03d}", f"p{i:03d}"), (f"p{i + 1:03d}", f"p{i + 2:03d}")]
+        arcs += [(f"p{i:03d}", f"n{rnd.randrange(120):03d}")] if i % 14 == 0 and i > 300 else []
+        arcs += [(f"n{rnd.randrange(120):03d}", f"p{i:03d}")] if i % 18 == 4 else []
+    arcs += [(f"r{i}", f"r{(i + 1) % 7}") for i in range(7)] + [("r1", "t1"), ("t1", "t2"), ("r2", "t3")]  # a ring with trees on it
+    assert _found(spark, arcs) == _components(arcs)
+
+
 def test_percentiles_equal_numpy(spark):
     rnd = random.Random(7)
     groups = {"many": [rnd.gauss(0, 5) for _ in range(500)], "equal": [2.0] * 400, "hot": [0.0] * 300 + [rnd.random() for _ in range(101)], "one": [3.5], "two": [1.0, 2.0]}
