@@ -87,7 +87,7 @@ class KnowledgeBase:
         twice = good.groupBy("id").count().where("count > 1")
         if not twice.isEmpty():
             raise ConflictError("several files hold one id")
-        self.tables.write("entries", good)
+        self.tables.write("entries", good, ["id"])
         self.reindex()
         return bad
 
@@ -133,7 +133,7 @@ class KnowledgeBase:
         rank = graph.pagerank(entries, edges).select("id", F.col("rank").alias("authority_score"))
         rows = metrics.entry_metrics(entries, edges, self.access_log(), self.today.isoformat()).join(rank, "id", "left")
         rows = rows.select(F.col("id").alias("entry_id"), "evidence_strength", "drift_score", "compression_ratio", "action_relevance", "retrieval_heat", F.coalesce("authority_score", F.lit(0.0)).alias("authority_score"), F.lit(datetime.now(UTC).replace(tzinfo=None)).cast("timestamp").alias("updated_at"))
-        self.tables.write("metrics", rows)
+        self.tables.write("metrics", cut(rows), ["entry_id"])
 
     # --- reads
     def get(self, entry_id: str, log: bool = True) -> dict:
@@ -480,8 +480,9 @@ class KnowledgeBase:
 
     def rebuild_dense(self, embedder: dense.Embedder = dense.hashed, only_stale: bool = True) -> DataFrame:
         """Embed stale (or all) active entries; gives what failed."""
-        store, failures = dense.rebuilt(self.entries(), self.dense_store(), None, only_stale, embedder)
-        self.tables.write("dense", store)
+        wanted = dense.stale(self.entries(), self.dense_store()) if only_stale else self.entries().where("status <> 'archived'").select("id")
+        rows, failures = dense.embedded(self.entries().join(wanted, "id", "left_semi"), embedder)
+        self.tables.merge("dense", dense.STORE_SCHEMA, rows, ["entry_id"])
         return failures
 
     def search_dense(self, query: str, limit: int = 20, embedder: dense.Embedder | None = dense.hashed) -> DataFrame:
@@ -505,7 +506,8 @@ class KnowledgeBase:
         fresh = metrics.entry_metrics(entries, edges, self.access_log(), self.today.isoformat(), touched).withColumnRenamed("id", "entry_id")
         rows = fresh.join(held.select("entry_id", "authority_score"), "entry_id", "left").withColumn("authority_score", F.coalesce("authority_score", F.lit(0.0)))
         rows = rows.withColumn("updated_at", F.lit(datetime.now(UTC).replace(tzinfo=None)).cast("timestamp")).select(*held.columns)
-        self.tables.write("metrics", lists.refreshed(rows, held, touched))
+        rows = cut(rows)
+        self.tables.replace("metrics", METRICS_SCHEMA, touched.select(F.col("id").alias("entry_id")), rows, ["entry_id"])
         return touched.count()
 
     # --- queue

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lorewright.functions.text import content_hash
 from lorewright.operators import search
+from lorewright.plans.lineage import cut, stored
 
 DIM, BATCH, LONGEST, TRIES = 64, 16, 512, 3
 #: Waiting entries from which the queue warns, and at which it takes no more.
@@ -90,7 +91,7 @@ def embedded(entries: DataFrame, embedder: Embedder = hashed, revision: str = "h
                 errors += [None if found else error] * len(texts)
             yield pd.DataFrame({"entry_id": frame["entry_id"], "embedding": vectors, "content_hash": frame["content_hash"], "model_revision": revision, "error": errors})
 
-    done = rows.mapInPandas(run, STORE_SCHEMA + ", error string")
+    done = stored(rows.mapInPandas(run, STORE_SCHEMA + ", error string"))  # read twice, and an embedder may cost by the call
     good = done.where("error is null").drop("error")
     return (good if known is None else good.unionByName(known)), done.where("error is not null").select("entry_id", "error")
 
@@ -123,13 +124,10 @@ def enqueued(queue: DataFrame, new: DataFrame, warn: int = WARN_DEPTH, hard: int
 def drained(queue: DataFrame, entries: DataFrame, store: DataFrame, most: int = 100, embedder: Embedder = hashed) -> tuple[DataFrame, DataFrame, dict[str, int]]:
     """(store, queue, counts) after the first `most` waiting ids, each once and by age, were worked on: missing, archived and
     unchanged ones are skipped, failed ones stay."""
-    from lorewright.plans.lineage import cut
-
     waiting = queue.groupBy("entry_id").agg(F.min("queued_at").alias("queued_at"))
     taken = cut(waiting.orderBy("queued_at", "entry_id").limit(max(0, most)))
     wanted = stale(entries, store).join(taken.select(F.col("entry_id").alias("id")), "id", "left_semi")
     rows, failures = embedded(entries.join(wanted, "id", "left_semi"), embedder)
-    rows, failures = cut(rows), cut(failures)
     handled = taken.join(failures.select("entry_id"), "entry_id", "left_anti")
     processed, ok, failed = taken.count(), rows.count(), failures.count()
     left = waiting.join(handled.select("entry_id"), "entry_id", "left_anti").select(*queue.columns)
