@@ -26,9 +26,11 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of every node that has an edge; component is the smallest node reachable.
 
     edges has long columns a and b; direction, self-loops and repeats don't matter. No edges: no rows. Each round is a
-    written table, so a lost executor costs one round. Rounds needed grow with the logarithm of the nodes.
+    written table, so a lost executor costs one round. So are the edges before the first, as a round names its edges eight times
+    and whatever they come from would stand in its plan as often. Rounds needed grow with the logarithm of the nodes.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges = written(edges, "components")
     state = None
     for _ in range(rounds):
         before, edges = edges, written(_small_star(_large_star(edges)), "components")

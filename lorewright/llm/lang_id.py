@@ -8,6 +8,7 @@ featurised on the executors and fitted on the driver. Scoring is one pass withou
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -140,6 +141,15 @@ def fit(x: np.ndarray, langs: np.ndarray) -> Model:
     return Model(languages, families, logs, pairs, np.array(weights, np.float32).reshape(-1, DIM).T, np.array(biases), np.array(slopes))
 
 
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, lang, x): the rows' trigram counts, most of them 0, as compressed bytes."""
+    for whole in batches:
+        for batch in slices(whole, "text", rows=ROWS):
+            x, _ = counts(batch.column("text"))
+            columns = [batch.column("doc_id"), batch.column("lang"), pa.array([zlib.compress(r.tobytes(), 1) for r in x], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang", "x"])
+
+
 def train(docs: DataFrame, keep: Column, per_language: int = PER_LANGUAGE, most: int = MOST_ROWS) -> Model | None:
     """A model of docs (doc_id, text, lang) where keep holds and neither text nor lang is null; None if there is no row. Of
     more than `most` languages (and of more than per_language rows of one) a bounded sample is learned from, so the rarest
@@ -149,19 +159,14 @@ def train(docs: DataFrame, keep: Column, per_language: int = PER_LANGUAGE, most:
     ids = smallest_hashes(rows.select("doc_id", "lang").distinct(), "lang", per_language)
     taken = ids.orderBy("_n", "lang").limit(most).select("doc_id", "lang")
     sample = rows.join(F.broadcast(taken), ["doc_id", "lang"])  # at most `most` rows
-
-    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text", rows=ROWS):
-                x, _ = counts(batch.column("text"))
-                columns = [batch.column("doc_id"), batch.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang", "x"])
-
-    found = sample.select("doc_id", "lang", "text").mapInArrow(featured, "doc_id long, lang string, x binary").limit(2 * most).collect()
-    found = sorted(found, key=lambda r: (r.lang, r.doc_id, bytes(r.x)))
+    found = sample.select("doc_id", "lang", "text").mapInArrow(_featured, "doc_id long, lang string, x binary").limit(2 * most).collect()
+    found = sorted(((r.lang, r.doc_id, bytes(r.x)) for r in found))
     if not found:
         return None
-    return fit(np.stack([np.frombuffer(r.x, np.float32) for r in found]), np.array([r.lang for r in found], object))
+    x = np.empty((len(found), DIM), np.float32)
+    for row, (_, _, data) in zip(x, found, strict=True):
+        row[:] = np.frombuffer(zlib.decompress(data), np.float32)
+    return fit(x, np.array([lang for lang, _, _ in found], object))
 
 
 def judge(texts: pa.Array, model: Model | None) -> tuple[list[str], np.ndarray]:

@@ -91,11 +91,13 @@ def solved(cells: DataFrame, sources: DataFrame, most: float = MOST_COPIES) -> D
     state = sources.withColumn("mean", mean).withColumn("low", low).withColumn("high", F.lit(math.log(most)) * mean).withColumn("lambda", F.lit(0.0))
     open_ = (F.col("source_size") > 0) & (F.col("target") > 0) & (F.col("target") < most * F.col("source_size"))
     state = written(state, "multipliers")
+    carried = ["source_size", "documents", "target", "mean", "low", "high", "lambda"]
     for _ in range(STEPS):
         rate, held = _rate(most), F.col("n") * F.col("size")
         slope = F.sum(F.when(rate < most, held * rate * F.col("size") / F.col("mean")))
-        sums = cells.join(state, "key").groupBy("key").agg(F.sum(held * rate).alias("words"), slope.alias("slope"))
-        moved = state.join(sums, "key").withColumn("gap", F.when(open_, F.col("words") - F.col("target")).otherwise(0.0))
+        own = [F.first(c).alias(c) for c in carried]  # one value a source, so no second join with state
+        moved = cells.join(state.select("key", *carried), "key").groupBy("key").agg(F.sum(held * rate).alias("words"), slope.alias("slope"), *own)
+        moved = moved.withColumn("gap", F.when(open_, F.col("words") - F.col("target")).otherwise(0.0))
         moved = moved.withColumn("low", F.when(F.col("gap") < 0, F.col("lambda")).otherwise(F.col("low")))
         moved = moved.withColumn("high", F.when(F.col("gap") > 0, F.col("lambda")).otherwise(F.col("high")))
         newton = F.when(F.col("slope") > 0, F.col("lambda") - F.col("gap") / F.col("slope"))
@@ -104,27 +106,27 @@ def solved(cells: DataFrame, sources: DataFrame, most: float = MOST_COPIES) -> D
         halved = (F.col("low") + F.col("high")) / 2
         step = F.when(F.col("off") <= TOLERANCE, F.col("lambda")).when(inside, newton).otherwise(halved)
         moved = moved.withColumn("off", off).withColumn("lambda", step)
-        before, state = state, written(moved.select("key", "source_size", "documents", "target", "mean", "low", "high", "lambda", "off"), "multipliers")
+        before, state = state, written(moved.select("key", *carried, "off"), "multipliers")
         drop(before)
-        if not state.where(F.col("off") > TOLERANCE).limit(1).count():
+        if state.where(F.col("off") > TOLERANCE).isEmpty():
             break
     out = state.select("key", "source_size", "target", "mean", "lambda")
     out._lorewright_path = state._lorewright_path
     return out
 
 
-def _repaired(cells: DataFrame, targets: DataFrame, most: int) -> DataFrame:
-    """cells (key, size, cell, n, base, extra), with one document of each source taken once more or once less where that
+def _repaired(cells: DataFrame, most: int) -> DataFrame:
+    """cells (key, target, size, cell, n, base, extra), with one document of each source taken once more or once less where that
     brings the source nearer its target."""
     taken = F.sum(F.col("size") * (F.col("n") * F.col("base") + F.col("extra")))
-    gaps = cells.groupBy("key").agg(taken.alias("taken")).join(targets, "key").select("key", (F.col("target") - F.col("taken")).alias("gap"))
+    gaps = cells.groupBy("key").agg((F.first("target") - taken).alias("gap"))
     more = (F.col("gap") > 0) & (F.col("extra") < F.col("n")) & (F.col("base") < most)
     move = F.when(more, 1).when((F.col("gap") < 0) & (F.col("extra") > 0), -1)
     tried = cells.join(gaps, "key").withColumn("move", move).withColumn("after", F.abs(F.col("gap") - F.col("move") * F.col("size")))
     tried = tried.where(F.col("after") < F.abs("gap"))
     best = tried.groupBy("key").agg(F.min(F.struct("after", "size", "cell", "move")).alias("b"))
     moved = cells.join(best.select("key", "b.size", "b.cell", "b.move"), ["key", "size", "cell"], "left")
-    return moved.select("key", "size", "cell", "n", "base", (F.col("extra") + F.coalesce("move", F.lit(0))).alias("extra"))
+    return moved.select("key", "target", "size", "cell", "n", "base", (F.col("extra") + F.coalesce("move", F.lit(0))).alias("extra"))
 
 
 def _near(table: DataFrame) -> DataFrame:
@@ -158,7 +160,7 @@ def planned(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = M
     dealt = dealt.join(_near(many), ["key", "size"], "left")
     cell = F.pmod(F.xxhash64(F.lit(1), "id", "none", "h"), F.coalesce("cells", F.lit(1))).cast("int")
     dealt = dealt.withColumn("cell", cell).drop("cells")
-    cells = dealt.groupBy("key", "size", "cell").agg(F.sum("n").alias("n"), F.max("rate").alias("rate"))
+    cells = dealt.groupBy("key", "size", "cell").agg(F.sum("n").alias("n"), F.max("rate").alias("rate"), F.first("target").alias("target"))
     cells = cells.withColumn("part", F.col("n") * (F.col("rate") - F.floor("rate"))).withColumn("block", F.floor(F.col("size") / BLOCK))
     cells = first = written(cells, "cells")
     blocks = cells.groupBy("key", "block").agg(F.sum("part").alias("sum"))
@@ -167,10 +169,10 @@ def planned(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = M
     inner = Window.partitionBy("key", "block").orderBy(F.desc("size"), "cell").rowsBetween(Window.unboundedPreceding, 0)
     cells = cells.join(blocks, ["key", "block"]).withColumn("upto", F.round(F.col("ahead") + F.sum("part").over(inner), 6))
     extra = F.floor(F.col("upto") + 0.5) - F.floor(F.round(F.col("upto") - F.col("part"), 6) + 0.5)
-    cells = written(cells.select("key", "size", "cell", "n", F.floor("rate").alias("base"), extra.cast("long").alias("extra")), "cells")
+    cells = written(cells.select("key", "target", "size", "cell", "n", F.floor("rate").alias("base"), extra.cast("long").alias("extra")), "cells")
     drop(first)
     for _ in range(REPAIRS):
-        before, cells = cells, written(_repaired(cells, multipliers.select("key", "target"), most), "cells")
+        before, cells = cells, written(_repaired(cells, most), "cells")
         drop(before)
     order = Window.partitionBy("key", "size", "cell").orderBy(F.xxhash64(F.lit(2), "id", "none"), "id", "none", "h")
     ahead = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

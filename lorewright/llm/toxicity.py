@@ -125,6 +125,16 @@ class Model:
     weights: np.ndarray  # (2 ** BITS,) float32, few of them not 0
     bias: float
 
+    def __getstate__(self) -> tuple:
+        """What goes with a plan: the weights that are not 0."""
+        live = np.flatnonzero(self.weights).astype(np.int32)
+        return len(self.weights), live, self.weights[live], self.bias
+
+    def __setstate__(self, state: tuple) -> None:
+        size, live, own, self.bias = state
+        self.weights = np.zeros(size, np.float32)
+        self.weights[live] = own
+
     def score(self, texts: pa.Array) -> np.ndarray:
         live = self.weights != 0
         raw, at = buffers(pc.utf8_lower(texts))
@@ -233,11 +243,11 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, per_class: int = PER
     best = sums.withColumn("apart", apart).where(F.col("apart") >= LEAST_APART).orderBy(F.desc("apart"), "feature").limit(SCREENED).collect()
     mentions = features(pa.array([t for g in groups for t in g], pa.string()))
     kept = np.unique(np.concatenate([np.array([r.feature for r in best], np.int32), *mentions])).astype(np.int64)
-    place = np.full(1 << BITS, -1, np.int32)
-    place[kept] = np.arange(len(kept))
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Kept features of the texts (kind 0) and of what is on one side only of their pairs (kind 1), by place."""
+        place = np.full(1 << BITS, -1, np.int32)
+        place[kept] = np.arange(len(kept))
         of = lambda data: np.sort(place[np.frombuffer(data, np.int32)])
         short = lambda x: x[x >= 0].astype(np.uint16).tobytes()
         for whole in batches:
