@@ -3,7 +3,7 @@
 import random
 from collections import Counter
 
-from lorewright.operators import checks
+from lorewright.operators import checks, rules
 from lorewright.plans import blocks
 
 
@@ -41,3 +41,14 @@ def test_holders_of_the_same_aliases_meet_as_one(spark):
     got = found.collect()
     assert {(r.left_id, r.right_id) for r in got} == {(a[0], b[0]) for i, a in enumerate(rows) for b in rows[i + 1 :]} and {r.shared for r in got} == {2}
     assert len(got) == 79800 and _joined(found) < len(got) / 50
+
+
+def test_entries_of_the_same_terms_are_compared_as_one(spark):
+    rows = [(f"e{i:03d}", "note", rnd) for i in range(300) for rnd in [["a", "b", "c", f"r{i % 3}"][:: 1 if i % 2 else -1]]]
+    edges = [(rows[0][0], rows[6][0]), (rows[9][0], rows[3][0]), (rows[1][0], rows[2][0]), (rows[5][0], rows[5][0])]
+    edges = [(a, b, "related", "confirmed") for a, b in edges]
+    found = rules.merge(spark.createDataFrame(rows, "id string, kind string, search_terms array<string>"), spark.createDataFrame(edges, "source_id string, target_id string, type string, origin string"))
+    got = Counter((r.target_id, r.message) for r in found.collect())
+    linked = {(min(a, b), max(a, b)) for a, b, *_ in edges}
+    assert got == Counter({(a[0], b[0]): 1 for i, a in enumerate(rows) for b in rows[i + 1 :] if (a[0], b[0]) not in linked})
+    assert len(got) == 44847 and _joined(found) < len(got) / 50
